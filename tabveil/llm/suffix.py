@@ -13,7 +13,6 @@ one entry for each batch, and answers go back to batches in the same form.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabveil.llm.blobs import docs_of, pack, unpack
-from tabveil.llm.text import SLAB, U64, buffers, prefix, slabs, span_hash
+from tabveil.llm.text import SLAB, U64, buffers, mix, prefix, slabs, span_hash
 
 PART = 16  # bytes of an anchor
 
@@ -41,7 +40,7 @@ def argmin_windows(g: np.ndarray, width: int) -> np.ndarray:
 
 
 def contexts(data: np.ndarray, offs: np.ndarray, length: int):
-    """First window, windows, row, hash of the anchor, and hash of the bytes, of each anchor's run of windows."""
+    """First window, windows, row, anchor's hash, hash of the bytes and anchor's offset, of each anchor's run of windows."""
     out = []
     spans = []
     for lo, hi in slabs(offs, SLAB):
@@ -65,9 +64,9 @@ def contexts(data: np.ndarray, offs: np.ndarray, length: int):
         end[:-1] &= ~valid[1:] | (at[1:] != at[:-1])
         s, e = np.flatnonzero(start), np.flatnonzero(end)
         h = span_hash(sums, s, e + length)
-        out.append((s + a, (e - s + 1).astype(np.int16), rows[s].astype(np.int32), g[at[s]], h ^ (at[s] - s).astype(U64)))
+        out.append((s + a, (e - s + 1).astype(np.uint8), rows[s].astype(np.int32), g[at[s]], h ^ (at[s] - s).astype(U64), (at[s] - s).astype(np.uint8)))
     if not out:
-        return tuple(np.zeros(0, t) for t in (np.int64, np.int16, np.int32, U64, U64))
+        return tuple(np.zeros(0, t) for t in (np.int64, np.uint8, np.int32, U64, U64, np.uint8))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
@@ -79,17 +78,17 @@ def batch_index(table: pa.Table, length: int, buckets: int):
     ordered = ids[order]
     rank[order] = np.cumsum(np.concatenate([[0], ordered[1:] != ordered[:-1]]))[: len(ids)]
     data, offs = buffers(table["text"])
-    start, n, row, anchor, key = contexts(data, offs, length)
+    start, n, row, anchor, key, shift = contexts(data, offs, length)
     bucket = (anchor % U64(buckets)).astype(np.int32)
     by = np.lexsort((key, bucket))
     same = np.zeros(len(by), bool)
     same[1:] = (key[by][1:] == key[by][:-1]) & (bucket[by][1:] == bucket[by][:-1])
     first = np.flatnonzero(~same)
-    return data, offs, start, n, rank[row], bucket, by, first
+    return data, offs, start, n, shift, rank[row], bucket, by, first
 
 
 def build(table: pa.Table, batch: int, length: int, buckets: int) -> Iterator[tuple[int, bytes]]:
-    data, _, start, n, rank, bucket, by, first = batch_index(table, length, buckets)
+    data, _, start, n, shift, rank, bucket, by, first = batch_index(table, length, buckets)
     if not len(by):
         return
     low, high = np.minimum.reduceat(rank[by], first), np.maximum.reduceat(rank[by], first)
@@ -100,33 +99,65 @@ def build(table: pa.Table, batch: int, length: int, buckets: int) -> Iterator[tu
         size = n[one].astype(np.int64) + length - 1
         ends = np.cumsum(size)
         raw = data[np.repeat(start[one] - (ends - size), size) + np.arange(ends[-1])]
-        numbers = np.concatenate([[len(one)], low[cuts[b] : cuts[b + 1]], high[cuts[b] : cuts[b + 1]]]).astype(np.int32)
-        yield int(b), pack(numbers.tobytes() + n[one].tobytes() + raw.tobytes())
+        # as planes of bytes: the upper bytes, and the difference of a string that occurs once, pack to almost nothing
+        ranks = np.stack([low[cuts[b] : cuts[b + 1]], (high - low)[cuts[b] : cuts[b + 1]]]).astype(np.uint32)
+        planes = np.ascontiguousarray(ranks.view(np.uint8).reshape(2 * len(one), 4).T)
+        yield int(b), pack(np.uint32(len(one)).tobytes() + planes.tobytes() + n[one].tobytes() + shift[one].tobytes() + raw.tobytes())
 
 
 def read(blob: bytes):
+    """Least and largest rank, windows and anchor's offset of each context of a blob, and the contexts' bytes."""
     raw = unpack(blob)
-    m = int(np.frombuffer(raw, np.int32, 1)[0])
-    low, high = np.frombuffer(raw, np.int32, 2 * m, 4).reshape(2, m)
-    return low, high, np.frombuffer(raw, np.int16, m, 4 + 8 * m), np.frombuffer(raw, np.uint8, offset=4 + 10 * m)
+    m = int(np.frombuffer(raw, np.uint32, 1)[0])
+    planes = np.frombuffer(raw, np.uint8, 8 * m, 4).reshape(4, 2 * m)
+    low, more = np.ascontiguousarray(planes.T).reshape(-1).view(np.uint32).reshape(2, m).astype(np.int64)
+    n, shift = np.frombuffer(raw, np.uint8, 2 * m, 4 + 8 * m).reshape(2, m)
+    return low, low + more, n.astype(np.int64), shift.astype(np.int64), np.frombuffer(raw, np.uint8, offset=4 + 10 * m)
+
+
+def meeting(blobs: list, length: int) -> list[np.ndarray]:
+    """For each blob, the places of the contexts that several documents have, or whose anchor another context has too."""
+    keys = []
+    for _, _, n, shift, raw in blobs:
+        begin = np.cumsum(n + length - 1) - (n + length - 1)
+        x = raw[(begin + shift)[:, None] + np.arange(PART)].view(U64).reshape(-1, 2)
+        keys.append(mix(x[:, 0]) + x[:, 1])
+    sizes = [len(k) for k in keys]
+    keys = np.concatenate(keys)
+    by = np.argsort(keys, kind="stable")
+    same = keys[by][1:] == keys[by][:-1]
+    shared = np.zeros(len(keys), bool)
+    shared[by[1:][same]] = True
+    shared[by[:-1][same]] = True
+    shared |= np.concatenate([high > low for low, high, *_ in blobs])
+    return [np.flatnonzero(x) for x in np.split(shared, np.cumsum(sizes)[:-1])]
 
 
 def scan(batches: list[int], blobs: list[bytes], length: int, group: int = 400_000) -> Iterator[tuple[int, bytes]]:
     """One bucket: batches in the order of doc_id against the levels; which windows of each were seen before."""
     levels: list[np.ndarray] = []
+    opened = [read(x) for x in blobs]
+    meet = meeting(opened, length) if opened else []
     at = 0
     while at < len(batches):
         took, size = [], 0
         while at < len(batches) and size < group:
-            x = read(blobs[at])
-            took.append((batches[at], *x))
-            size += int(x[2].sum())
+            low, high, n, _, raw = opened[at]
+            m = meet[at]
+            if len(m):
+                took.append((batches[at], m, low[m], high[m], n[m], (np.cumsum(n + length - 1) - (n + length - 1))[m], raw))
+                size += int(n[m].sum())
+            opened[at] = None
             at += 1
-        n = np.concatenate([x[3] for x in took]).astype(np.int64)
-        raw = np.concatenate([x[4] for x in took])
+        if not took:
+            continue
+        n = np.concatenate([x[4] for x in took])
         part = np.repeat(np.arange(len(took)), [len(x[1]) for x in took])
-        low, high = (np.concatenate([x[k] for x in took]).astype(np.int64) + (part << 32) for k in (1, 2))
-        begin = np.concatenate([[0], np.cumsum(n + length - 1)])[:-1]
+        low, high = (np.concatenate([x[k] for x in took]) + (part << 32) for k in (2, 3))
+        width = n + length - 1
+        begin = np.cumsum(width) - width
+        raw = np.concatenate([x[6][np.repeat(x[5] - (np.cumsum(x[4] + length - 1) - (x[4] + length - 1)), x[4] + length - 1) + np.arange(int((x[4] + length - 1).sum()))] for x in took])
+        place = np.concatenate([x[1] for x in took])
         of = np.repeat(np.arange(len(n)), n)
         off = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
         w = begin[of] + off
@@ -151,10 +182,9 @@ def scan(batches: list[int], blobs: list[bytes], length: int, group: int = 400_0
             cut = np.flatnonzero(np.concatenate([[True], (c[1:] != c[:-1]) | (mine[1:] != mine[:-1])]))
             c, mine, mask = c[cut], mine[cut], np.bitwise_or.reduceat(bit, cut)
             bounds = np.searchsorted(part[c], np.arange(len(took) + 1))
-            first = np.searchsorted(part, np.arange(len(took)))
             for k in np.flatnonzero(np.diff(bounds)):
                 s = slice(bounds[k], bounds[k + 1])
-                yield took[k][0], pack((c[s] - first[k]).astype(np.int32).tobytes() + mine[s].astype(np.int32).tobytes() + mask[s].tobytes())
+                yield took[k][0], pack(place[c[s]].astype(np.int32).tobytes() + mine[s].astype(np.int32).tobytes() + mask[s].tobytes())
         while levels and len(levels[-1]) <= 2 * len(keys):
             keys = np.union1d(levels.pop(), keys)
         levels.append(keys)
@@ -162,7 +192,7 @@ def scan(batches: list[int], blobs: list[bytes], length: int, group: int = 400_0
 
 def apply(table: pa.Table, answers: pa.Table, length: int, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The bytes of a batch, its offsets, and which bytes go."""
-    data, offs, start, _, rank, bucket, by, first = batch_index(table, length, buckets)
+    data, offs, start, _, _, rank, bucket, by, first = batch_index(table, length, buckets)
     hit = np.zeros(len(data) + 1, np.int8)
     cuts = np.searchsorted(bucket[by[first]] if len(by) else [], np.arange(buckets + 1))
     ends = np.append(first, len(by))
@@ -235,21 +265,3 @@ def dedup(docs: DataFrame, length: int = 50, batch_mb: float = 16, bucket_mb: fl
 
     answers = dealt.groupBy("batch").applyInArrow(send, BLOBS).groupBy("bucket").applyInArrow(seek, BLOBS)
     return dealt.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
-
-
-def brute(rows: list[tuple[int, str]], length: int = 50) -> dict[int, tuple[int, int, int, str]]:
-    """The same by definition, for tests: doc_id to n_bytes, n_removed, n_spans and the digest of what is kept."""
-    seen: dict[bytes, int] = {}
-    texts = {i: (t or "").encode() for i, t in rows}
-    for i in sorted(texts):
-        for p in range(len(texts[i]) - length + 1):
-            seen.setdefault(texts[i][p : p + length], i)
-    out = {}
-    for i, t in texts.items():
-        gone = np.zeros(len(t) + 1, bool)
-        for p in range(len(t) - length + 1):
-            if seen[t[p : p + length]] < i:
-                gone[p : p + length] = True
-        g = gone[:-1]
-        out[i] = (len(t), int(g.sum()), int((g & ~np.concatenate([[False], g[:-1]])[: len(g)]).sum()), hashlib.sha256(bytes(b for b, x in zip(t, g, strict=True) if not x)).hexdigest())
-    return out
