@@ -1,0 +1 @@
+"""Differentially private synthetic tables on Spark."""
