@@ -29,12 +29,15 @@ def recode(df: DataFrame, attr: str, mapping: DataFrame) -> DataFrame:
     return out.withColumn(attr, F.col("__new")).drop("__old", "__new")
 
 
-def decode(df: DataFrame, attr: str, mapping: DataFrame, key: Column) -> DataFrame:
-    """Kept codes back; the rows of the group code are shared out equally, in the order of `key`, over the grouped codes."""
+def decode(df: DataFrame, attr: str, mapping: DataFrame, key: Column, sizes: DataFrame | None = None) -> DataFrame:
+    """Kept codes back; the rows of the group code are shared out equally, in the order of `key`, over the grouped codes.
+
+    `sizes`, (code, count) of the attribute, spares a second reading of the rows.
+    """
     m = mapping.select(F.col("old_code").alias("__old"), F.col("new_code").alias("__new"), "is_group")
     every = Window.partitionBy("__new")
     m = m.withColumn("__i", F.row_number().over(every.orderBy("__old"))).withColumn("__m", F.count("*").over(every))
-    sizes = df.groupBy(attr).agg(F.count("*").alias("__n")).withColumnRenamed(attr, "__new")
+    sizes = df.groupBy(F.col(attr).alias("__new")).agg(F.count("*").alias("__n")) if sizes is None else sizes.toDF("__new", "__n")
     m = m.join(F.broadcast(sizes), "__new")
     edge = lambda i: F.rint(F.round(i / F.col("__m"), 12) * F.col("__n")).cast("long")
     m = m.select("__new", "__old", edge(F.col("__i") - 1).alias("__from"), edge(F.col("__i")).alias("__to"))

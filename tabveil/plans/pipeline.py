@@ -162,11 +162,13 @@ class Pipeline:
                 rows = done if len(names) == len(attrs) else rows.drop(*names).join(done, "row_id")
         for layer in reversed(layers):
             for a, anchor in layer.ancestor.items():
+                rows = rows.persist()  # read twice below
                 v = domain.canonical(layer.marginal[a])
                 rows = quota.append(rows, self.table(spark, domain, v, targets[v]).drop("cell"), anchor, a, F.xxhash64("row_id", F.lit(a)))
-        out = rows
+        out = rows = rows.persist()
+        held = count_sets(rows, [(a,) for a in domain]).persist()
         for a in domain:
-            out = recode.decode(out, a, maps[a], F.xxhash64("row_id", F.lit(f"recode {a}")))
+            out = recode.decode(out, a, maps[a], F.xxhash64("row_id", F.lit(f"recode {a}")), held.where(F.col("view") == a).select(a, "count"))
         out = out.select("row_id", *domain.attrs).persist()
         table = model.decode(out.drop("row_id"), c.seed, use_diff=not c.faithful)
         return Result(table, out, marginals, targets, ledger, domain, gap)
