@@ -23,17 +23,31 @@ def words_of(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
 
 
-def seeds(words: Column, at: Column) -> Column:
-    """A hash for each mask at a position; null where the mask doesn't fit."""
-    out = []
-    for k, mask in enumerate(MASKS):
-        chosen = [F.get(words, at + j) for j, c in enumerate(mask) if c == "1"]
-        out.append(F.when(chosen[-1].isNotNull(), F.xxhash64(F.lit(k), *chosen)))
-    return F.array(*out)
+def bind(value: Column, use) -> Column:
+    """use(value) with the value computed once a row, also where `use` names it in a loop."""
+    return F.transform(F.array(value), use)[0]
 
 
-def positions(words: Column) -> Column:
-    return F.explode(F.when(F.size(words) >= LEAST, F.sequence(F.lit(0), F.size(words) - LEAST)))
+def seeds(words: Column) -> Column:
+    """For each position, the hash of each mask there; null where a mask doesn't fit."""
+
+    def of_hashes(h: Column) -> Column:
+        def at(i: Column) -> Column:
+            out = []
+            for k, mask in enumerate(MASKS):
+                chosen = [F.get(h, i + j) for j, c in enumerate(mask) if c == "1"]
+                out.append(F.when(chosen[-1].isNotNull(), F.xxhash64(F.lit(k), *chosen)))
+            return F.array(*out)
+
+        return F.when(F.size(h) >= LEAST, F.flatten(F.transform(F.sequence(F.lit(0), F.size(h) - LEAST), at)))
+
+    return bind(F.transform(words, lambda w: F.xxhash64(w)), of_hashes)
+
+
+def places(seeded: DataFrame, *keep: str) -> DataFrame:
+    """One row for each seed, with its position; only the named columns go along, never a text."""
+    out = seeded.select(*keep, F.posexplode("seeds").alias("p", "seed")).where("seed is not null")
+    return out.select(*keep, F.expr(f"p div {len(MASKS)}").cast("int").alias("i"), "seed")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = 80, window: int = 20) -> DataFrame:
@@ -48,19 +62,25 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = 80, windo
     """
     items = benchmark.select(F.col("item_id").alias("item_id"), words_of(F.col("text")).alias("b"), F.octet_length("text").alias("size")).where(F.size("b") >= LEAST)
     blocks = int((items.agg(F.sum("size")).first()[0] or 0) // BLOCK) + 1
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words_of(F.col("text").cast("string")).alias("w"))
-    places = rows.select("doc_id", "w", positions(F.col("w")).alias("i"))
-    places = places.select("doc_id", "w", "i", F.explode(seeds(F.col("w"), F.col("i"))).alias("seed")).where("seed is not null")
+    text = F.col("text").cast("string")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("key"))
+    here = places(rows.select("doc_id", "key", seeds(words_of(F.col("text"))).alias("seeds")), "doc_id", "key")
     found = []
     for k in range(blocks):
         one = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k) if blocks > 1 else items
-        keyed = one.select("item_id", "b", positions(F.col("b")).alias("j"))
-        keyed = keyed.select("item_id", "b", "j", F.explode(seeds(F.col("b"), F.col("j"))).alias("seed")).where("seed is not null")
-        found.append(places.join(F.broadcast(keyed), "seed"))
-    hits = reduce(DataFrame.union, found)
-    start = F.col("i") - F.col("j")
-    hits = hits.select("doc_id", "item_id", "w", "b", start.alias("start"), F.least(F.size("b"), F.lit(window)).alias("span"))
-    same = F.transform(F.col("b"), lambda x, k: F.when((F.col("start") + k >= 0) & (F.get(F.col("w"), F.greatest(F.col("start") + k, F.lit(0))) == x), 1).otherwise(0))
+        keyed = places(one.select("item_id", seeds(F.col("b")).alias("seeds")), "item_id").withColumnRenamed("i", "j")
+        near = here.join(F.broadcast(keyed), "seed").select("doc_id", "key", "item_id", (F.col("i") - F.col("j")).alias("start")).distinct()
+        # only texts with a hit are opened again; a document is told by its id and a hash of its text
+        near = near.select(F.col("doc_id").alias("__d"), F.col("key").alias("__k"), "item_id", "start")
+        found.append(near.join(F.broadcast(one.select("item_id", "b")), "item_id"))
+    hits = rows.join(reduce(DataFrame.union, found), F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("key") == F.col("__k")))
+    hits = hits.select("doc_id", "item_id", "text", "b", "start", F.least(F.size("b"), F.lit(window)).alias("span"))
+
+    def agree(w: Column) -> Column:
+        there = lambda k: F.get(w, F.greatest(F.col("start") + k, F.lit(0)))
+        return F.transform(F.col("b"), lambda x, k: F.when((F.col("start") + k >= 0) & (there(k) == x), 1).otherwise(0))
+
+    same = bind(words_of(F.col("text")), agree)
     hits = hits.select("doc_id", "item_id", "start", "span", F.size("b").alias("n_words"), same.alias("same"))
     total = F.aggregate("same", F.lit(0), lambda acc, x: acc + x)
     hits = hits.select("*", total.alias("n_match")).where(F.col("n_match") * 100 >= F.col("span") * percent)
