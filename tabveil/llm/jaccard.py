@@ -13,6 +13,8 @@ near copies costs about m pairs and not m * m. The second round makes all other
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,6 +26,7 @@ from tabveil.llm.text import LOWER, U64, buffers, combine, grams, mix, prefix, s
 
 SKETCH = 20  # log2 of the counters of the sketch: 4 MB, whatever the corpus
 MOST_L = 8
+PAIRS = 200_000  # pairs that a task makes at a time
 VERIFY = 40.0  # cost of verifying a candidate, in postings read
 
 
@@ -81,7 +84,7 @@ def prefixes(rows: np.ndarray, g: np.ndarray, n: np.ndarray, sketch: np.ndarray,
     return chosen, size, g[at]
 
 
-def similar(docs: DataFrame, n: int = 4, percent: int = 85, posting_rows: int = 400_000) -> DataFrame:
+def similar(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     """Classes of documents linked by 100 * intersection >= percent * union of n-word shingle sets.
 
     Words are maximal runs other than space and 0x09-0x0D, with A-Z lower-cased; fewer than n words make one
@@ -146,37 +149,43 @@ def similar(docs: DataFrame, n: int = 4, percent: int = 85, posting_rows: int =
     label = shared.select("token", "cls", "n", "l", "rest").join(near.select(F.col("node").alias("cls"), "component"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     label = steps.keep(label)
     mixed = label.groupBy("token").agg(F.min("component").alias("p"), F.max("component").alias("q")).where("p <> q").select("token")
-    rows = label.join(mixed, "token", "left_semi")
-    buckets = label.count() // posting_rows + 1
-
-    def pairs(table):
-        t = {c: table[c].to_numpy() for c in ("token", "cls", "n", "l", "rest", "component")}
-        by = np.lexsort((t["component"], t["token"]))
-        t = {c: x[by] for c, x in t.items()}
-        cut = np.flatnonzero(np.concatenate([[True], t["token"][1:] != t["token"][:-1], [True]]))
-        left, right = [], []
-        for a, b in zip(cut[:-1], cut[1:], strict=True):
-            end = a + np.searchsorted(t["component"][a:b], t["component"][a:b], "right")  # each row meets the rows of later components
-            for s in range(a, b, 4096):
-                e = end[s - a : min(b, s + 4096) - a]
-                times = b - e
-                i = np.repeat(np.arange(s, s + len(e)), times)
-                j = np.repeat(e - (np.cumsum(times) - times), times) + np.arange(len(i))
+    rows = label.join(mixed, "token", "left_semi").repartition(parts, "token").sortWithinPartitions("token", "component")
+    names = ["token", "cls", "n", "l", "rest", "component"]
+
+    def pairs(batches):
+        """Pairs of classes of different components that hold one token, a bounded number at a time."""
+        held = None  # rows of a token that may go on in the next batch
+        for batch in chain(batches, [None]):
+            t = {c: batch[c].to_numpy(zero_copy_only=False) for c in names} if batch is not None else {c: held[c][:0] for c in names} if held else {c: np.zeros(0, np.int64) for c in names}
+            if held is not None:
+                t = {c: np.concatenate([held[c], t[c]]) for c in names}
+            m = len(t["token"])
+            done = m if batch is None else int(np.searchsorted(t["token"], t["token"][-1])) if m else 0
+            held = {c: x[done:] for c, x in t.items()}
+            if not done:
+                continue
+            t = {c: x[:done] for c, x in t.items()}
+            last = np.searchsorted(t["token"], t["token"], "right")
+            step = np.flatnonzero(np.concatenate([(t["token"][1:] != t["token"][:-1]) | (t["component"][1:] != t["component"][:-1]), [True]])) + 1
+            first = step[np.searchsorted(step, np.arange(done), "right")]  # each row meets the rows of later components
+            times = last - np.minimum(first, last)
+            ends = np.cumsum(times)
+            at = 0
+            while at < done:
+                to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS, "right")))
+                k = times[at:to]
+                i = np.repeat(np.arange(at, to), k)
+                j = np.repeat(first[at:to] - (np.cumsum(k) - k), k) + np.arange(len(i))
+                at = to
                 ok = 100 * np.minimum(t["n"][i], t["n"][j]) >= percent * np.maximum(t["n"][i], t["n"][j])
-                left.append(i[ok])
-                right.append(j[ok])
-        i, j = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
-        swap = t["cls"][i] > t["cls"][j]
-        i, j = np.where(swap, j, i), np.where(swap, i, j)
-        by = np.lexsort((t["cls"][j], t["cls"][i]))
-        i, j = i[by], j[by]
-        first = np.flatnonzero(np.concatenate([[True], (t["cls"][i][1:] != t["cls"][i][:-1]) | (t["cls"][j][1:] != t["cls"][j][:-1])])) if len(i) else np.zeros(0, np.int64)
-        c = np.diff(np.append(first, len(i)))
-        i, j = i[first], j[first]
-        return pa.table({"a": t["cls"][i], "b": t["cls"][j], "n": t["n"][i], "n2": t["n"][j], "l": t["l"][i], "l2": t["l"][j], "rest": t["rest"][i], "rest2": t["rest"][j], "c": pa.array(c, pa.int64())})
+                i, j = i[ok], j[ok]
+                if len(i):
+                    swap = t["cls"][i] > t["cls"][j]
+                    i, j = np.where(swap, j, i), np.where(swap, i, j)
+                    yield pa.RecordBatch.from_pydict({"a": t["cls"][i], "b": t["cls"][j], "n": t["n"][i], "n2": t["n"][j], "l": t["l"][i].astype(np.int32), "l2": t["l"][j].astype(np.int32), "rest": t["rest"][i].astype(np.int32), "rest2": t["rest"][j].astype(np.int32), "c": np.ones(len(i), np.int64)})
 
     schema = "a long, b long, n long, n2 long, l int, l2 int, rest int, rest2 int, c long"
-    others = rows.withColumn("bucket", F.pmod("token", F.lit(buckets))).groupBy("bucket").applyInArrow(pairs, schema)
+    others = rows.select(*names).mapInArrow(pairs, schema)
     others = others.groupBy("a", "b", "n", "n2", "l", "l2", "rest", "rest2").agg(F.sum("c").alias("c")).where(enough).select("a", "b")
     others = steps.keep(others)
     if not others.isEmpty():
