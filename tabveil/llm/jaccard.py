@@ -7,8 +7,12 @@ as the estimated cost of the candidates falls. A pair is verified only if it sha
 the two prefixes and the two sizes demand.
 
 Documents with equal sets form a class, and only classes take part. A first round links each class to the
-smallest holder of a shared shingle; pairs whose classes are connected by then are never made, so a group of m
-near copies costs about m pairs and not m * m. The second round makes all other pairs: no link is lost.
+smallest holder of most of its shared shingles (to other smallest holders if that fails); pairs whose classes are connected by
+then are never made, so a group of m near copies costs about m pairs and not m * m. The second round makes all
+other pairs: no link is lost.
+
+Every set also has a bitmap in which each shingle flips one bit. Two bitmaps differ in no more bits than the sets
+differ in shingles, so a pair whose bitmaps differ too much is left out before it is sent anywhere.
 """
 
 from __future__ import annotations
@@ -17,7 +21,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabveil.llm.blobs import Steps, bits_for, docs_of, filters, holds, pack_planes, unpack_planes
@@ -28,6 +32,8 @@ SKETCH = 20  # log2 of the counters of the sketch: 4 MB, whatever the corpus
 MOST_L = 8
 PAIRS = 200_000  # pairs that a task makes at a time
 VERIFY = 40.0  # cost of verifying a candidate, in postings read
+HUBS = 1  # holders that the first round tries first
+FLIPS = 8  # 64-bit words of a bitmap
 
 
 def shingles(data: np.ndarray, offs: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -63,6 +69,13 @@ def classes(rows: np.ndarray, g: np.ndarray, m: int) -> tuple[np.ndarray, np.nda
     return n, key.view(np.int64)
 
 
+def parities(rows: np.ndarray, g: np.ndarray, m: int) -> np.ndarray:
+    """Each row's bitmap, FLIPS words a row."""
+    bits = 64 * FLIPS
+    odd = np.bincount(rows * bits + (mix(g + U64(FLIPS)) % U64(bits)).astype(np.int64), minlength=m * bits) & 1
+    return np.packbits(odd.astype(bool).reshape(m, bits), axis=1).view(np.int64)
+
+
 def prefixes(rows: np.ndarray, g: np.ndarray, n: np.ndarray, sketch: np.ndarray, percent: int):
     """Each row's chosen l, and its prefix as (row, hash)."""
     seen = sketch[(g >> U64(64 - SKETCH)).astype(np.int64)]
@@ -128,9 +141,11 @@ def similar(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
                 size, key = classes(rows, g, b - a)
                 l, took, tokens = prefixes(rows, g, size, order.value, percent)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(took)]), pa.int32()), pa.array(tokens.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(size, pa.int64()), pa.array(key), pa.array(l, pa.int32()), pa.array(size - took, pa.int32()), lists], names=["doc_id", "n", "cls", "l", "rest", "tokens"])
+                flips = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1) * FLIPS, pa.int32()), pa.array(parities(rows, g, b - a).ravel()))
+                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(size, pa.int64()), pa.array(key), pa.array(l, pa.int32()), pa.array(size - took, pa.int32()), lists, flips], names=["doc_id", "n", "cls", "l", "rest", "tokens", "flips"])
 
-    chosen = steps.keep(docs.mapInArrow(choose, "doc_id long, n long, cls long, l int, rest int, tokens array<long>"))
+    chosen = steps.keep(docs.mapInArrow(choose, "doc_id long, n long, cls long, l int, rest int, tokens array<long>, flips array<long>"))
+    bitmaps = chosen.where("n > 0").select("cls", "flips").dropDuplicates(["cls"])
     one = chosen.where("n > 0").dropDuplicates(["cls"])
     postings = one.select("cls", "n", "l", "rest", F.explode("tokens").alias("token"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -142,23 +157,35 @@ def similar(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     # the overlap is at most the shared prefix shingles plus the longer rest; the threshold asks for `percent` of the union
     enough = F.expr(f"c >= greatest(least(l, l2), ceil({percent} * (n + n2) / {100 + percent}D - 1e-9) - greatest(rest, rest2))")
     stars = shared.select(F.col("cls").alias("a"), F.col("to.cls").alias("b"), "n", "l", "rest", F.col("to.n").alias("n2"), F.col("to.l").alias("l2"), F.col("to.rest").alias("rest2"))
-    stars = stars.where("a <> b").where(fits).groupBy("a", "b", "n", "n2", "l", "l2", "rest", "rest2").agg(F.count("*").alias("c")).where(enough).select("a", "b")
-    links = verify(docs, steps.keep(stars), steps, n, percent)
+    stars = stars.where("a <> b").where(fits).groupBy("a", "b", "n", "n2", "l", "l2", "rest", "rest2").agg(F.count("*").alias("c")).where(enough)
+    stars = stars.join(bitmaps.select(F.col("cls").alias("a"), F.col("flips").alias("f")), "a").join(bitmaps.select(F.col("cls").alias("b"), F.col("flips").alias("f2")), "b")
+    apart = F.expr("aggregate(zip_with(f, f2, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)")
+    stars = stars.where((100 + percent) * (F.col("n") + F.col("n2") - apart) >= 2 * percent * (F.col("n") + F.col("n2")))
+    turn = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("c"), "b"))
+    stars = steps.keep(stars.select("a", "b", turn.alias("turn")))
+    sets = sets_of(docs, stars, steps, n)
+    first = steps.keep(alike(stars.where(F.col("turn") <= HUBS), sets, percent))
+    rest = stars.where(F.col("turn") > HUBS).join(first.select("a").distinct(), "a", "left_anti")
+    links = steps.keep(first.union(alike(rest, sets, percent)))
 
     near = components(links, steps)
     label = shared.select("token", "cls", "n", "l", "rest").join(near.select(F.col("node").alias("cls"), "component"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     label = steps.keep(label)
     mixed = label.groupBy("token").agg(F.min("component").alias("p"), F.max("component").alias("q")).where("p <> q").select("token")
-    rows = label.join(mixed, "token", "left_semi").repartition(parts, "token").sortWithinPartitions("token", "component")
+    rows = label.join(mixed, "token", "left_semi").join(bitmaps, "cls").repartition(parts, "token").sortWithinPartitions("token", "component")
     names = ["token", "cls", "n", "l", "rest", "component"]
 
+    def opened(batch) -> dict[str, np.ndarray]:
+        t = {c: batch[c].to_numpy(zero_copy_only=False) for c in names}
+        return t | {"flips": batch["flips"].flatten().to_numpy(zero_copy_only=False).reshape(-1, FLIPS)}
+
     def pairs(batches):
         """Pairs of classes of different components that hold one token, a bounded number at a time."""
         held = None  # rows of a token that may go on in the next batch
         for batch in chain(batches, [None]):
-            t = {c: batch[c].to_numpy(zero_copy_only=False) for c in names} if batch is not None else {c: held[c][:0] for c in names} if held else {c: np.zeros(0, np.int64) for c in names}
-            if held is not None:
-                t = {c: np.concatenate([held[c], t[c]]) for c in names}
+            if batch is None and held is None:
+                return
+            t = held if batch is None else opened(batch) if held is None else {c: np.concatenate([held[c], x]) for c, x in opened(batch).items()}
             m = len(t["token"])
             done = m if batch is None else int(np.searchsorted(t["token"], t["token"][-1])) if m else 0
             held = {c: x[done:] for c, x in t.items()}
@@ -179,17 +206,22 @@ def similar(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
                 at = to
                 ok = 100 * np.minimum(t["n"][i], t["n"][j]) >= percent * np.maximum(t["n"][i], t["n"][j])
                 i, j = i[ok], j[ok]
+                both = t["n"][i] + t["n"][j]
+                ok = (100 + percent) * (both - np.bitwise_count((t["flips"][i] ^ t["flips"][j]).view(U64)).sum(1, dtype=np.int64)) >= 2 * percent * both
+                i, j = i[ok], j[ok]
                 if len(i):
                     swap = t["cls"][i] > t["cls"][j]
                     i, j = np.where(swap, j, i), np.where(swap, i, j)
                     yield pa.RecordBatch.from_pydict({"a": t["cls"][i], "b": t["cls"][j], "n": t["n"][i], "n2": t["n"][j], "l": t["l"][i].astype(np.int32), "l2": t["l"][j].astype(np.int32), "rest": t["rest"][i].astype(np.int32), "rest2": t["rest"][j].astype(np.int32), "c": np.ones(len(i), np.int64)})
 
     schema = "a long, b long, n long, n2 long, l int, l2 int, rest int, rest2 int, c long"
-    others = rows.select(*names).mapInArrow(pairs, schema)
+    others = rows.select(*names, "flips").mapInArrow(pairs, schema)
     others = others.groupBy("a", "b", "n", "n2", "l", "l2", "rest", "rest2").agg(F.sum("c").alias("c")).where(enough).select("a", "b")
     others = steps.keep(others)
     if not others.isEmpty():
-        near = components(links.union(verify(docs, others, steps, n, percent)), steps)
+        more = alike(others, sets_of(docs, others, steps, n), percent)
+        joined = near.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+        near = components(joined.union(more), steps)
     small = chosen.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least")).join(near.select(F.col("node").alias("cls"), "component"), "cls", "left")
     small = small.withColumn("component", F.coalesce("component", "cls"))
     roots = small.groupBy("component").agg(F.min("least").alias("component_id"))
@@ -198,8 +230,8 @@ def similar(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def verify(docs: DataFrame, pairs: DataFrame, steps: Steps, n: int, percent: int) -> DataFrame:
-    """Those pairs (a, b) of classes whose whole sets are similar enough."""
+def sets_of(docs: DataFrame, pairs: DataFrame, steps: Steps, n: int) -> DataFrame:
+    """(cls, shingles): the whole sets of all classes in the pairs (a, b)."""
     spark = docs.sparkSession
     ends = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls")))
     bits = bits_for(pairs.count() * 2, least=16, most=26)
@@ -223,8 +255,12 @@ def verify(docs: DataFrame, pairs: DataFrame, steps: Steps, n: int, percent: int
                     yield pa.RecordBatch.from_arrays([pa.array(key[take]), pa.array([g[first[k] : first[k + 1]].tobytes() for k in take], pa.binary())], names=["cls", "shingles"])
 
     found = docs.select("text").mapInArrow(sets, "cls long, shingles binary").join(ends.distinct(), "cls", "left_semi").dropDuplicates(["cls"])
-    found = steps.keep(found)
-    both = pairs.join(found.select(F.col("cls").alias("a"), F.col("shingles").alias("x")), "a").join(found.select(F.col("cls").alias("b"), F.col("shingles").alias("y")), "b")
+    return steps.keep(found)
+
+
+def alike(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those pairs (a, b) of classes whose whole sets are similar enough."""
+    both = pairs.join(sets.select(F.col("cls").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("cls").alias("b"), F.col("shingles").alias("y")), "b")
 
     def compare(batches):
         for batch in batches:
@@ -238,7 +274,7 @@ def verify(docs: DataFrame, pairs: DataFrame, steps: Steps, n: int, percent: int
             keep = pa.array(ok, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch["a"].filter(keep), batch["b"].filter(keep)], names=["a", "b"])
 
-    return steps.keep(both.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long"))
+    return both.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
 
 
 def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
