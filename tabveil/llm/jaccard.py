@@ -6,10 +6,10 @@ among the first n - ceil(t * n) + l of each. Each document picks its own l: it l
 as the estimated cost of the candidates falls. A pair is verified only if it shares as many prefix shingles as
 the two prefixes and the two sizes demand.
 
-Documents with equal sets form a class, and only classes take part. A first round links each class to the
-smallest holder of most of its shared shingles (to other smallest holders if that fails); pairs whose classes are connected by
-then are never made, so a group of m near copies costs about m pairs and not m * m. The second round makes all
-other pairs: no link is lost.
+Documents with equal sets form a class, and only classes take part. A first round tries each class with a few
+holders of its shared shingles, drawn by hash; pairs whose classes are connected by then are never made, so a
+group of m near copies costs about HUBS * m pairs and not m * m. The second round makes all other pairs: no link
+is lost.
 
 Every set also has a bitmap in which each shingle flips one bit. Two bitmaps differ in no more bits than the sets
 differ in shingles, so a pair whose bitmaps differ too much is left out before it is sent anywhere.
@@ -32,7 +32,7 @@ SKETCH = 20  # log2 of the counters of the sketch: 4 MB, whatever the corpus
 MOST_L = 8
 PAIRS = 200_000  # pairs that a task makes at a time
 VERIFY = 40.0  # cost of verifying a candidate, in postings read
-HUBS = 1  # holders that the first round tries first
+HUBS = 12  # holders that the first round tries for each class
 FLIPS = 8  # 64-bit words of a bitmap
 
 
@@ -150,23 +150,21 @@ def similar(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     postings = one.select("cls", "n", "l", "rest", F.explode("tokens").alias("token"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     postings = postings.repartition(parts, "token")
-    held = postings.groupBy("token").agg(F.count("*").alias("c"), F.min(F.struct("cls", "n", "l", "rest")).alias("to")).where("c > 1").select("token", "to")
+    held = postings.groupBy("token").agg(F.count("*").alias("c"), F.min(F.struct(F.xxhash64("token", "cls").alias("h"), "cls", "n")).alias("to")).where("c > 1").select("token", F.struct("to.cls", "to.n").alias("to"))
     shared = steps.keep(postings.join(held, "token"))
 
     fits = F.expr(f"100 * least(n, n2) >= {percent} * greatest(n, n2)")
     # the overlap is at most the shared prefix shingles plus the longer rest; the threshold asks for `percent` of the union
     enough = F.expr(f"c >= greatest(least(l, l2), ceil({percent} * (n + n2) / {100 + percent}D - 1e-9) - greatest(rest, rest2))")
-    stars = shared.select(F.col("cls").alias("a"), F.col("to.cls").alias("b"), "n", "l", "rest", F.col("to.n").alias("n2"), F.col("to.l").alias("l2"), F.col("to.rest").alias("rest2"))
-    stars = stars.where("a <> b").where(fits).groupBy("a", "b", "n", "n2", "l", "l2", "rest", "rest2").agg(F.count("*").alias("c")).where(enough)
+    stars = shared.select(F.col("cls").alias("a"), F.col("to.cls").alias("b"), "n", F.col("to.n").alias("n2"))
+    stars = stars.where("a <> b").where(fits).groupBy("a", "b", "n", "n2").agg(F.count("*").alias("c"))
+    turn = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("c"), F.xxhash64("a", "b"), "b"))
+    stars = stars.withColumn("turn", turn).where(F.col("turn") <= HUBS)  # all other pairs are the second round's
     stars = stars.join(bitmaps.select(F.col("cls").alias("a"), F.col("flips").alias("f")), "a").join(bitmaps.select(F.col("cls").alias("b"), F.col("flips").alias("f2")), "b")
     apart = F.expr("aggregate(zip_with(f, f2, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)")
     stars = stars.where((100 + percent) * (F.col("n") + F.col("n2") - apart) >= 2 * percent * (F.col("n") + F.col("n2")))
-    turn = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("c"), "b"))
-    stars = steps.keep(stars.select("a", "b", turn.alias("turn")))
-    sets = sets_of(docs, stars, steps, n)
-    first = steps.keep(alike(stars.where(F.col("turn") <= HUBS), sets, percent))
-    rest = stars.where(F.col("turn") > HUBS).join(first.select("a").distinct(), "a", "left_anti")
-    links = steps.keep(first.union(alike(rest, sets, percent)))
+    stars = steps.keep(stars.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    links = steps.keep(alike(stars, sets_of(docs, stars, steps, n), percent))
 
     near = components(links, steps)
     label = shared.select("token", "cls", "n", "l", "rest").join(near.select(F.col("node").alias("cls"), "component"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
