@@ -42,7 +42,8 @@ def repeated(docs: DataFrame, least: int = 40, copies: int = 5) -> DataFrame:
     """(doc_id, drop): the digests of the lines that each document loses. Documents that lose none are left out."""
     spark = docs.sparkSession
     docs = docs_of(docs, "doc_id", "text")
-    n = docs.select(F.sum(F.length("text") - F.length(F.translate("text", "\n", "")) + 1)).first()[0] or 0
+    breaks = F.octet_length("text") - F.octet_length(F.replace(F.col("text"), F.lit("\n"), F.lit("")))
+    n = docs.select(F.sum(breaks + 1)).first()[0] or 0
     bits = bits_for(n)
 
     def at(batch):
