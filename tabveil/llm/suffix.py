@@ -21,9 +21,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabveil.llm.blobs import docs_of, pack, unpack
-from tabveil.llm.text import SLAB, U64, buffers, mix, prefix, slabs, span_hash
+from tabveil.llm.text import U64, buffers, mix, prefix, slabs, span_hash, window_hash
 
 PART = 16  # bytes of an anchor
+PIECE = 1 << 19  # bytes whose anchors are sought at once
 
 
 def argmin_windows(g: np.ndarray, width: int) -> np.ndarray:
@@ -43,28 +44,29 @@ def contexts(data: np.ndarray, offs: np.ndarray, length: int):
     """First window, windows, row, anchor's hash, hash of the bytes and anchor's offset, of each anchor's run of windows."""
     out = []
     spans = []
-    for lo, hi in slabs(offs, SLAB):
+    for lo, hi in slabs(offs, PIECE):
         a, b = int(offs[lo]), int(offs[hi])
         # a single long row is cut into pieces that overlap by length - 1 bytes: no window is lost or seen twice
-        spans += [(at, min(b, at + SLAB + length - 1)) for at in range(a, max(a + 1, b - length + 1), SLAB)] if hi - lo == 1 and b - a > 2 * SLAB else [(a, b)]
+        spans += [(at, min(b, at + PIECE + length - 1)) for at in range(a, max(a + 1, b - length + 1), PIECE)] if hi - lo == 1 and b - a > 2 * PIECE else [(a, b)]
     for a, b in spans:
         if b - a < length:
             continue
         part = data[a:b]
         sums = prefix(part)
-        i = np.arange(len(part) - PART + 1)
-        g = span_hash(sums, i, i + PART)
+        g = window_hash(sums, PART)
         at = argmin_windows(g, length - PART + 1)
         n = len(at)
-        rows = np.searchsorted(offs, a + np.arange(n), "right") - 1
-        valid = a + np.arange(n) + length <= offs[rows + 1]
+        lo, hi = int(np.searchsorted(offs, a, "right")) - 1, int(np.searchsorted(offs, b, "left"))
+        times = np.diff(np.clip(offs[lo : hi + 1], a, b))
+        rows = np.repeat(np.arange(lo, hi, dtype=np.int32), times)[:n]
+        valid = np.arange(a + length, a + length + n) <= np.repeat(offs[lo + 1 : hi + 1], times)[:n]
         start = valid.copy()
         start[1:] &= ~valid[:-1] | (at[1:] != at[:-1])
         end = valid.copy()
         end[:-1] &= ~valid[1:] | (at[1:] != at[:-1])
         s, e = np.flatnonzero(start), np.flatnonzero(end)
         h = span_hash(sums, s, e + length)
-        out.append((s + a, (e - s + 1).astype(np.uint8), rows[s].astype(np.int32), g[at[s]], h ^ (at[s] - s).astype(U64), (at[s] - s).astype(np.uint8)))
+        out.append((s + a, (e - s + 1).astype(np.uint8), rows[s], g[at[s]], h ^ (at[s] - s).astype(U64), (at[s] - s).astype(np.uint8)))
     if not out:
         return tuple(np.zeros(0, t) for t in (np.int64, np.uint8, np.int32, U64, U64, np.uint8))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
@@ -84,23 +86,27 @@ def batch_index(table: pa.Table, length: int, buckets: int):
     same = np.zeros(len(by), bool)
     same[1:] = (key[by][1:] == key[by][:-1]) & (bucket[by][1:] == bucket[by][:-1])
     first = np.flatnonzero(~same)
-    return data, offs, start, n, shift, rank[row], bucket, by, first
+    rank = rank[row]
+    # what is sent goes by least rank in its bucket, so that ranks pack to almost nothing
+    low = np.minimum.reduceat(rank[by], first) if len(by) else rank
+    turn = np.lexsort((low, bucket[by[first]]))
+    return data, offs, start, n, shift, rank, bucket, by, first, turn
 
 
 def build(table: pa.Table, batch: int, length: int, buckets: int) -> Iterator[tuple[int, bytes]]:
-    data, _, start, n, shift, rank, bucket, by, first = batch_index(table, length, buckets)
+    data, _, start, n, shift, rank, bucket, by, first, turn = batch_index(table, length, buckets)
     if not len(by):
         return
-    low, high = np.minimum.reduceat(rank[by], first), np.maximum.reduceat(rank[by], first)
-    head = by[first]
+    low, high = np.minimum.reduceat(rank[by], first)[turn], np.maximum.reduceat(rank[by], first)[turn]
+    head = by[first][turn]
     cuts = np.searchsorted(bucket[head], np.arange(buckets + 1))
     for b in np.flatnonzero(np.diff(cuts)):
         one = head[cuts[b] : cuts[b + 1]]
         size = n[one].astype(np.int64) + length - 1
         ends = np.cumsum(size)
         raw = data[np.repeat(start[one] - (ends - size), size) + np.arange(ends[-1])]
-        # as planes of bytes: the upper bytes, and the difference of a string that occurs once, pack to almost nothing
-        ranks = np.stack([low[cuts[b] : cuts[b + 1]], (high - low)[cuts[b] : cuts[b + 1]]]).astype(np.uint32)
+        # as planes of bytes: the upper bytes of the steps, and the difference of a string that occurs once, pack to almost nothing
+        ranks = np.stack([np.diff(low[cuts[b] : cuts[b + 1]], prepend=0), (high - low)[cuts[b] : cuts[b + 1]]]).astype(np.uint32)
         planes = np.ascontiguousarray(ranks.view(np.uint8).reshape(2 * len(one), 4).T)
         yield int(b), pack(np.uint32(len(one)).tobytes() + planes.tobytes() + n[one].tobytes() + shift[one].tobytes() + raw.tobytes())
 
@@ -110,7 +116,8 @@ def read(blob: bytes):
     raw = unpack(blob)
     m = int(np.frombuffer(raw, np.uint32, 1)[0])
     planes = np.frombuffer(raw, np.uint8, 8 * m, 4).reshape(4, 2 * m)
-    low, more = np.ascontiguousarray(planes.T).reshape(-1).view(np.uint32).reshape(2, m).astype(np.int64)
+    step, more = np.ascontiguousarray(planes.T).reshape(-1).view(np.uint32).reshape(2, m).astype(np.int64)
+    low = np.cumsum(step)
     n, shift = np.frombuffer(raw, np.uint8, 2 * m, 4 + 8 * m).reshape(2, m)
     return low, low + more, n.astype(np.int64), shift.astype(np.int64), np.frombuffer(raw, np.uint8, offset=4 + 10 * m)
 
@@ -192,7 +199,7 @@ def scan(batches: list[int], blobs: list[bytes], length: int, group: int = 400_0
 
 def apply(table: pa.Table, answers: pa.Table, length: int, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The bytes of a batch, its offsets, and which bytes go."""
-    data, offs, start, _, _, rank, bucket, by, first = batch_index(table, length, buckets)
+    data, offs, start, _, _, rank, bucket, by, first, turn = batch_index(table, length, buckets)
     hit = np.zeros(len(data) + 1, np.int8)
     cuts = np.searchsorted(bucket[by[first]] if len(by) else [], np.arange(buckets + 1))
     ends = np.append(first, len(by))
@@ -201,7 +208,7 @@ def apply(table: pa.Table, answers: pa.Table, length: int, buckets: int) -> tupl
         m = len(raw) // 16
         c, mine = np.frombuffer(raw, np.int32, 2 * m).reshape(2, m)
         mask = np.frombuffer(raw, U64, m, 8 * m)
-        u = cuts[b] + c
+        u = turn[cuts[b] + c]
         times = ends[u + 1] - ends[u]
         rec = np.repeat(np.arange(m), times)
         places = by[np.repeat(ends[u] - (np.cumsum(times) - times), times) + np.arange(len(rec))]
@@ -210,7 +217,7 @@ def apply(table: pa.Table, answers: pa.Table, length: int, buckets: int) -> tupl
         bits = mask[rec]
         for off in range(length - PART + 1):
             hit[places[(bits >> U64(off)) & U64(1) == 1] + off] = 1
-    total = np.cumsum(hit[: len(data)], dtype=np.int64)
+    total = np.cumsum(hit[: len(data)], dtype=np.int32)
     total[length:] -= total[:-length].copy()
     return data, offs, total > 0
 

@@ -82,6 +82,13 @@ def span_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarra
     return mix(raw + (end - start).astype(U64) * _GOLD)
 
 
+def window_hash(sums: np.ndarray, width: int) -> np.ndarray:
+    """span_hash of each span of `width` bytes."""
+    inverse = powers(pow(BASE, -1, 1 << 64), len(sums))
+    m = len(sums) - width
+    return mix((sums[width:] - sums[:m]) * inverse[:m] + U64(width) * _GOLD)
+
+
 def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and row of each word; words never cross rows."""
     if not len(data):
