@@ -86,7 +86,7 @@ def window_hash(sums: np.ndarray, width: int) -> np.ndarray:
     """span_hash of each span of `width` bytes."""
     inverse = powers(pow(BASE, -1, 1 << 64), len(sums))
     m = len(sums) - width
-    return mix((sums[width:] - sums[:m]) * inverse[:m] + U64(width) * _GOLD)
+    return mix((sums[width:] - sums[:m]) * inverse[:m] + U64(width * int(_GOLD) % (1 << 64)))
 
 
 def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
