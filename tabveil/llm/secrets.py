@@ -1,15 +1,17 @@
 """Secret scan: fixed base patterns, and formats inferred from the credentials that those label.
 
-Credentials found by the base patterns in a bounded sample of documents are the labelled examples, by kind.
+Credentials found by the base patterns in all documents are the labelled examples, by kind, up to a number drawn by hash.
 For each kind a prefix tree of them is folded into a probabilistic automaton: two states merge if the shares of
 every symbol and of ending agree within Hoeffding's bound, all the way down. Every other run of credential
-characters, in every whole text, is scored by each automaton against a character model of ordinary runs; runs
-that some format explains much better than ordinary text does become further spans.
+characters, in every whole text, is scored by each automaton against a character model of ordinary text; runs
+that some format explains better by a fixed likelihood ratio become further spans. Ordinary text is learned from runs too
+short to be judged, so credentials that no pattern labels neither raise the limit nor teach the model.
 """
 
 from __future__ import annotations
 
 import re
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +23,7 @@ from tabveil.llm.text import buffers, code_points, slabs
 
 KINDS = ("assign", "access", "hex", "format")
 LEAST = 12  # characters of a candidate
+RATIO = 0.25  # nats a character by which a format must explain a run better than ordinary text: 20 to 1 over 12 characters
 ASSIGN = re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([a-z0-9+/_.=-]+)""")
 ACCESS = re.compile(rb"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(rb"[0-9a-f]{16,}")
@@ -135,13 +138,35 @@ class Automaton:
                 self.end[k] = np.log((self.final[s] + 1e-3) / (n + 0.1))
 
 
+def smooth(pairs: np.ndarray) -> np.ndarray:
+    """Log probabilities of each byte after each other from counts of pairs, mixed with equal shares so that they don't fall with the size of the text."""
+    n = int(ALPHABET.sum())
+    return np.log(0.99 * (pairs + 1 / n) / (pairs.sum(1, keepdims=True) + 1) + 0.01 / n)
+
+
 def ordinary(strings: list[bytes]) -> np.ndarray:
     """Log probabilities of each byte after each other, from ordinary runs."""
-    pairs = np.full((256, 256), 0.01)
+    pairs = np.zeros((256, 256))
     for s in strings:
         x = np.frombuffer(b"\n" + s, np.uint8)
         np.add.at(pairs, (x[:-1], x[1:]), 1)
-    return np.log(pairs / pairs.sum(1, keepdims=True))
+    return smooth(pairs)
+
+
+def short_pairs(data: np.ndarray, offs: np.ndarray, free: np.ndarray) -> np.ndarray:
+    """Counts of pairs of bytes in runs of credential characters under LEAST; `free` marks the bytes outside base matches."""
+    use = ALPHABET[data] & free
+    start, end, _ = runs(data, offs)
+    long = np.zeros(len(data) + 1, np.int32)
+    long[start] += 1
+    long[end] -= 1
+    use &= np.cumsum(long[:-1]) == 0
+    edge = np.zeros(len(data) + 1, bool)
+    edge[offs] = True
+    before = np.full(len(data), 10, np.int32)
+    joined = use[1:] & use[:-1] & ~edge[1:-1]
+    before[1:][joined] = data[:-1][joined]
+    return np.bincount((before[use] << 8) | data[use], minlength=1 << 16)
 
 
 Tables = tuple[np.ndarray, np.ndarray, np.ndarray]  # next states, log probabilities, log probabilities of ending
@@ -175,62 +200,66 @@ def likelihood(data: np.ndarray, start: np.ndarray, end: np.ndarray, machines: l
     return out
 
 
-def train(docs: DataFrame, train_docs: int = 20_000, examples: int = 600, ordinary_runs: int = 5_000) -> tuple[list[Tables], np.ndarray, float]:
-    """Automata's tables, the model of ordinary runs and the score above which a run is taken for a credential.
+def train(docs: DataFrame, examples: int = 600) -> tuple[list[Tables], np.ndarray]:
+    """Automata's tables and the model of ordinary text.
 
-    Learns from about `train_docs` documents, drawn by a hash of doc_id at a rate of that number over all rows,
-    and from at most `examples` credentials of a kind and `ordinary_runs` other runs, chosen by hash.
+    Learns from all documents: of the distinct credentials of each kind the `examples` of least hash, of ordinary text the
+    counts of all pairs of bytes in runs under LEAST characters. A task sends at most `examples` rows a kind and one a pair.
     """
-    n = docs.count()
-    rate = min(1.0, train_docs / max(n, 1))
-    some = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1_000_000)) < int(rate * 1_000_000))
 
     def label(batches):
+        least: list[dict[bytes, bytes]] = [{} for _ in KINDS[:3]]
+        pairs = np.zeros(1 << 16, np.int64)
+
+        def cut(k):
+            least[k] = {h: least[k][h] for h in sorted(least[k])[:examples]}
+
         for batch in batches:
             data, offs = buffers(batch["text"])
-            kinds, values = [], []
             for a, b in slabs(offs):
                 part, o = data[offs[a] : offs[b]], offs[a : b + 1] - offs[a]
-                taken = np.zeros(len(part) + 1, np.int64)
+                free = np.ones(len(part), bool)
                 for lo, hi in zip(o[:-1], o[1:], strict=True):
                     text = part[lo:hi].tobytes()
                     for kind, s, e, vs, ve in base(text):
-                        kinds.append(kind)
-                        values.append(text[vs:ve])
-                        taken[lo + s : lo + e] = 1
-                covered = np.concatenate([[0], np.cumsum(taken)])
-                s, e, _ = runs(part, o)
-                free = covered[e] == covered[s]
-                values += [part[x:y].tobytes()[:256] for x, y in zip(s[free], e[free], strict=True)]
-                kinds += [3] * int(free.sum())
-            yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(values, pa.binary())], names=["kind", "value"])
-
-    found = some.select("text").mapInArrow(label, "kind int, value binary").distinct()
-    chosen = found.groupBy("kind").agg(F.slice(F.sort_array(F.collect_list(F.struct(F.xxhash64("value").alias("h"), "value"))), 1, max(examples, ordinary_runs)).alias("v"))
-    by_kind = {r["kind"]: [bytes(x["value"]) for x in r["v"]] for r in chosen.collect()}  # bounded by train_docs, `examples` and `ordinary_runs`
-    machines = [(m.to, m.log, m.end) for m in (Automaton([v[:256] for v in by_kind[k][:examples]]) for k in range(3) if by_kind.get(k))]
-    others = by_kind.get(3, [])[:ordinary_runs]
-    plain = ordinary(others)
-    limit = 1.0
-    if others and machines:
-        ends = np.cumsum([len(x) for x in others])
-        score = likelihood(np.frombuffer(b"".join(others), np.uint8), ends - [len(x) for x in others], ends, machines, plain)
-        limit = max(limit, float(np.quantile(score, 0.999)) + 0.25)
-    return machines, plain, limit
-
-
-def scan(docs: DataFrame, train_docs: int = 20_000) -> DataFrame:
+                        value = text[vs:ve][:256]
+                        least[kind][blake2b(value, digest_size=8).digest()] = value
+                        free[lo + s : lo + e] = False
+                        if len(least[kind]) > 8 * examples:
+                            cut(kind)
+                pairs += short_pairs(part, o, free)
+        for k in range(3):
+            cut(k)
+        values = [(k, h, v, 1) for k, found in enumerate(least) for h, v in found.items()]
+        values += [(3, int(x).to_bytes(2, "big"), None, int(pairs[x])) for x in np.flatnonzero(pairs)]
+        kind, key, value, n = zip(*values, strict=True) if values else ((), (), (), ())
+        yield pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(key, pa.binary()), pa.array(value, pa.binary()), pa.array(n, pa.int64())], names=["kind", "key", "value", "n"])
+
+    found = docs.select("text").mapInArrow(label, "kind int, key binary, value binary, n long")
+    found = found.groupBy("kind", "key").agg(F.min("value").alias("value"), F.sum("n").alias("n")).persist()
+    # at most `examples` rows a kind, and a row a pair of bytes
+    by_kind = [[bytes(r["value"]) for r in found.where(F.col("kind") == k).orderBy("key").limit(examples).collect()] for k in range(3)]
+    pairs = np.zeros((256, 256))
+    for r in found.where("kind = 3").select("key", "n").collect():
+        pairs[r["key"][0], r["key"][1]] = r["n"]
+    found.unpersist()
+    machines = [(m.to, m.log, m.end) for m in (Automaton(v) for v in by_kind if v)]
+    return machines, smooth(pairs)
+
+
+def scan(docs: DataFrame, ratio: float = RATIO) -> DataFrame:
     """(doc_id, spans) for every row; spans is a list of (kind, start, end) in code points, sorted by start and kind.
 
-    Kinds assign, access and hex are the base patterns, format what the inferred automata add; added spans never
+    Kinds assign, access and hex are the base patterns, format what the inferred automata add: runs that one explains
+    better than ordinary text does by `ratio` nats a character or more, however many there are. Added spans never
     overlap a base one. Null and empty texts have no spans. Without any labelled credential nothing is added. Equal
     rows get equal results. An empty table gives none.
     """
     docs = docs_of(docs, "doc_id", "text")
-    model = docs.sparkSession.sparkContext.broadcast(train(docs, train_docs))  # a few hundred states
+    model = docs.sparkSession.sparkContext.broadcast(train(docs))  # a few hundred states
 
     def find(batches):
-        machines, plain, limit = model.value
+        machines, plain = model.value
         for batch in batches:
             data, offs = buffers(batch["text"])
             for a, b in slabs(offs):
@@ -245,7 +274,7 @@ def scan(docs: DataFrame, train_docs: int = 20_000) -> DataFrame:
                 s, e, row = runs(part, o)
                 free = covered[e] == covered[s]
                 s, e, row = s[free], e[free], row[free]
-                for k in np.flatnonzero(likelihood(part, s, e, machines, plain) >= limit):
+                for k in np.flatnonzero(likelihood(part, s, e, machines, plain) >= ratio):
                     spans[row[k]].append((int(s[k]), 3, int(e[k])))
                 out = []
                 points = code_points(part) if any(spans) else None
