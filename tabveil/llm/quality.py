@@ -43,17 +43,17 @@ def line_hash(line: Column) -> Column:
     return F.xxhash64(F.lower(F.regexp_replace(line, r"[\x20\x09-\x0D]++", "")))
 
 
-def rules(docs: DataFrame, least_docs: int = 20, share: float = 0.01, left_percent: int = 30, least_words: int = 10) -> DataFrame:
-    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_boiler_words, base_failed, kept, by row.
+def rules(docs: DataFrame, least_docs: int = 20, left_percent: int = 30, least_words: int = 10, most_sent: int = 500_000, hot_docs: int = 10_000) -> DataFrame:
+    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_boiler_words, base_failed, kept, text, by row.
 
     A line (compared without blanks and in lower case) is boilerplate on its host, the source, if it stands in more than
-    `least_docs` documents there and in more than `share` of them. A document is depleted if, without boilerplate, it
-    has fewer than `least_words` words or under `left_percent` of them. kept is false if base_failed (fewer than 10
+    `least_docs` documents there, whatever the host's size. text is what is left when boilerplate lines are taken out;
+    other lines stay as they were, null stays null. A document is depleted if, without boilerplate, it has fewer than `least_words` words or under `left_percent` of them. kept is false if base_failed (fewer than 10
     words, or over 20% of them in repeated windows) or if depleted. Null and empty texts have no words and fail. A null
     source is a host of its own. Rows that repeat doc_id and text get the same result. An empty table gives none.
 
-    On average a document has few lines, and a boilerplate line needs a share of its host's documents: hence a host has
-    at most (lines a document / share) of them. Beyond a checked number they are joined by shuffle.
+    Up to `most_sent` boilerplate lines are broadcast. Of more, only those in over `hot_docs` documents are, at most one in
+    so many lines of the table, and the others are joined by shuffle. Texts are shuffled once.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("source").cast("string").alias("source"))
     key = F.xxhash64("text")
@@ -63,26 +63,31 @@ def rules(docs: DataFrame, least_docs: int = 20, share: float = 0.01, left_perce
     chars = F.coalesce(F.length(F.regexp_replace("text", r"[\x20\x09-\x0D]++", "")), F.lit(0)).cast("long")
     symbols = (length - F.coalesce(F.length(F.translate("text", MARKS, "")), F.lit(0))).cast("long")
     dup = bind(lines_of(F.col("text")), lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long")
-    base = rows.select("doc_id", key.alias("__k"), stats.alias("s"), chars.alias("word_chars"), symbols.alias("n_symbols"), dup.alias("n_dup_lines"))
-    base = base.select("doc_id", "__k", "s.n_words", "word_chars", "n_symbols", "n_dup_lines", "s.n_repeat_words")
+    base = rows.select("doc_id", "text", key.alias("__k"), stats.alias("s"), chars.alias("word_chars"), symbols.alias("n_symbols"), dup.alias("n_dup_lines"))
+    base = base.select("doc_id", "text", "__k", "s.n_words", "word_chars", "n_symbols", "n_dup_lines", "s.n_repeat_words")
     base = base.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
 
-    hosts = rows.groupBy("source").agg(F.count("*").alias("docs"))
     per_doc = rows.select("source", F.explode(F.array_distinct(F.transform(lines_of(F.col("text")), line_hash))).alias("line"))
     often = per_doc.groupBy("source", "line").agg(F.count("*").alias("c")).where(F.col("c") > least_docs)
-    often = often.join(hosts.select(F.col("source").alias("__host"), "docs"), F.col("source").eqNullSafe(F.col("__host")))
-    often = often.where(F.col("c") > F.col("docs") * share).select(F.col("source").alias("__host"), F.col("line").alias("__line")).persist()
-    few = often.limit(500_001).count() <= 500_000  # 500,000 rows of 30 bytes at most are broadcast
-
-    each = rows.select("doc_id", key.alias("__k"), "source", F.posexplode(lines_of(F.col("text"))).alias("at", "t"))
-    each = each.select("doc_id", "__k", "source", "at", line_hash(F.col("t")).alias("line"), "t")
-    boiler = each.join(F.broadcast(often) if few else often, F.col("source").eqNullSafe(F.col("__host")) & (F.col("line") == F.col("__line")))
+    often = often.select(F.col("source").alias("__host"), F.col("line").alias("__line"), "c").persist()
+    few = often.limit(most_sent + 1).count() <= most_sent  # 500,000 rows of 30 bytes at most are broadcast
+
+    each = rows.select("doc_id", key.alias("__k"), "source", F.posexplode(F.split("text", "\n")).alias("at", "t")).where(F.col("t").rlike(r"[^\x20\x09-\x0D]"))
+    each = each.select("doc_id", "__k", "source", "at", line_hash(F.col("t")).alias("line"), F.regexp_count("t", F.lit(WORD)).alias("n"))
+    same = F.col("source").eqNullSafe(F.col("__host")) & (F.col("line") == F.col("__line"))
+    if few:
+        boiler = each.join(F.broadcast(often), same).drop("__host", "__line", "c")
+    else:
+        hot, rest = F.broadcast(often.where(F.col("c") > hot_docs).drop("c")), often.where(F.col("c") <= hot_docs).drop("c")
+        boiler = each.join(hot, same).drop("__host", "__line").union(each.join(hot, same, "left_anti").join(rest, same).drop("__host", "__line"))
     # the first step makes rows that repeat doc_id and text count once
-    boiler = boiler.groupBy("doc_id", "__k", "at").agg(F.max(F.regexp_count("t", F.lit(WORD))).alias("n")).groupBy("doc_id", "__k").agg(F.sum("n").alias("__b"))
-    boiler = boiler.select(F.col("doc_id").alias("__d"), F.col("__k").alias("__k2"), "__b")
+    boiler = boiler.groupBy("doc_id", "__k", "at").agg(F.max("n").alias("n")).groupBy("doc_id", "__k").agg(F.sum("n").alias("__b"), F.collect_list("at").alias("__at"))
+    boiler = boiler.select(F.col("doc_id").alias("__d"), F.col("__k").alias("__k2"), "__b", "__at")
     out = base.join(boiler, F.col("doc_id").eqNullSafe(F.col("__d")) & F.col("__k").eqNullSafe(F.col("__k2")), "left")
     out = out.withColumn("__b", F.coalesce("__b", F.lit(0)))
     out = out.withColumn("n_boiler_words", F.least("__b", "n_words").cast("long"))
     left = F.col("n_words") - F.col("n_boiler_words")
     depleted = (left < least_words) | (100 * left < left_percent * F.col("n_words"))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_boiler_words", "base_failed", (~F.col("base_failed") & ~depleted).alias("kept"))
+    spared = bind(F.split("text", "\n"), lambda x: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("__at")), lambda i: F.get(x, i)), "\n"))
+    text = F.when(F.col("__at").isNull(), F.col("text")).otherwise(spared)
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_boiler_words", "base_failed", (~F.col("base_failed") & ~depleted).alias("kept"), text.alias("text"))

@@ -42,7 +42,8 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.rules(table(spark, sf_dir, "documents"))
+    out = quality.rules(table(spark, sf_dir, "documents"))
+    return out.withColumn("kept_sha256", F.sha2(F.col("text").cast("binary"), 256)).drop("text")
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,9 @@
 """The whole job of corpus operators where a cut would go unseen on the smallest tables."""
 
 import numpy as np
+import pytest
 
-from tabveil.llm import secrets
+from tabveil.llm import quality, secrets
 
 
 def test_credentials_outside_the_base_patterns(spark):
@@ -18,3 +19,24 @@ def test_credentials_outside_the_base_patterns(spark):
     found = secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     added = {(r["doc_id"], texts[r["doc_id"]][s["start"] : s["end"]]) for r in found for s in r["spans"] if s["kind"] == "format"}
     assert added == {(1000 + k, c) for k, c in enumerate(planted)}
+
+
+@pytest.mark.parametrize("most_sent, hot_docs", [(500_000, 10_000), (0, 40), (0, 10_000)])
+def test_boilerplate_whatever_the_size_of_the_host(spark, most_sent, hot_docs):
+    words = lambda k, n: " ".join(f"w{k}x{i}" for i in range(n))
+    rows = []
+    for k in range(4000):  # 25 documents and 50 are under a hundredth of this host's
+        foot = ["  Read MORE here", "All rights reserved"] if k < 25 else ["All rights  reserved"] if k < 50 else ["Few hold this"] if k < 70 else []
+        rows.append((k, "\n".join([words(k, 12), "", *foot, words(-k, 3)]), "large"))
+    rows += [(5000, "Read more here\n" + words(0, 12), "other"), (5001, None, "large"), (5002, "read more HERE", "large")]
+    texts = {k: t for k, t, _ in rows}
+    got = quality.rules(spark.createDataFrame(rows, "doc_id long, text string, source string"), most_sent=most_sent, hot_docs=hot_docs)
+    assert got.count() == len(rows)
+    for r in got.collect():
+        k = r["doc_id"]
+        if k < 50:
+            assert r["n_boiler_words"] == (6 if k < 25 else 3) and r["text"] == f"{words(k, 12)}\n\n{words(-k, 3)}"
+        elif k == 5002:
+            assert (r["n_boiler_words"], r["text"], r["kept"]) == (3, "", False)
+        else:
+            assert r["n_boiler_words"] == 0 and r["text"] == texts[k]
