@@ -3,7 +3,8 @@
 import numpy as np
 import pytest
 
-from tabveil.llm import quality, secrets
+from tabveil.llm import quality, queries, secrets
+from tests.llm import brute
 
 
 def test_credentials_outside_the_base_patterns(spark):
@@ -40,3 +41,9 @@ def test_boilerplate_whatever_the_size_of_the_host(spark, most_sent, hot_docs):
             assert (r["n_boiler_words"], r["text"], r["kept"]) == (3, "", False)
         else:
             assert r["n_boiler_words"] == 0 and r["text"] == texts[k]
+
+
+def test_lm_query_counts_every_ngram(spark, sf_dir):
+    want = brute.backoff([tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()], least=1)
+    for r in queries.queries()["op9_lm_scoring"](spark, sf_dir).collect():
+        assert (r["n_words"], r["log_score"]) == (want[r["doc_id"]][0], pytest.approx(want[r["doc_id"]][1], abs=1e-6))
