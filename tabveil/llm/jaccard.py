@@ -8,8 +8,9 @@ the two prefixes and the two sizes demand.
 
 Documents with equal sets form a class, and only classes take part. A first round tries each class with a few
 holders of its shared shingles, drawn by hash; pairs whose classes are connected by then are never made, so a
-group of m near copies costs about HUBS * m pairs and not m * m. The second round makes all other pairs: no link
-is lost.
+group of m near copies costs about HUBS * m pairs and not m * m. The second round makes all pairs between different
+components: no component is torn. Links are counted afterwards, by comparing all classes of a component of like size in
+blocks of BLOCK by BLOCK: m * m / BLOCK sets are sent for a component of m classes, and no row is made for a pair.
 
 Every set also has a bitmap in which each shingle flips one bit. Two bitmaps differ in no more bits than the sets
 differ in shingles, so a pair whose bitmaps differ too much is left out before it is sent anywhere.
@@ -34,6 +35,8 @@ PAIRS = 200_000  # pairs that a task makes at a time
 VERIFY = 40.0  # cost of verifying a candidate, in postings read
 HUBS = 12  # holders that the first round tries for each class
 FLIPS = 8  # 64-bit words of a bitmap
+BLOCK = 64  # classes of a component that are compared with as many others at a time
+COLUMNS = 8192  # shingles of a block that are multiplied at a time
 
 
 def shingles(data: np.ndarray, offs: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -101,13 +104,25 @@ def similar(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     """Classes of documents linked by 100 * intersection >= percent * union of n-word shingle sets.
 
     Words are maximal runs other than space and 0x09-0x0D, with A-Z lower-cased; fewer than n words make one
-    shingle of the whole sequence. Returns doc_id, n_shingles and component_id, the smallest doc_id reachable by
-    links. Null and empty texts have no shingles and stand alone, and so does a component of null doc_ids only
-    (its component_id is null). Rows that repeat a doc_id each count. An empty table gives no rows.
+    shingle of the whole sequence. Returns doc_id, n_shingles, component_id, the smallest doc_id reachable by
+    links, and n_links, the number of other rows that a row is linked with. Null and empty texts have no shingles
+    and stand alone, and so does a component of null doc_ids only (its component_id is null). Rows that repeat a
+    doc_id each count. An empty table gives no rows.
     """
-    spark = docs.sparkSession
-    steps = Steps(spark)
+    steps = Steps(docs.sparkSession)
     docs = docs_of(docs, "doc_id", "text")
+    chosen, near = linked(docs, n, percent, steps)
+    near = steps.keep(near)
+    held = chosen.where("n > 0").groupBy("cls").agg(F.min("n").alias("n"), F.count("*").alias("held"))
+    links = link_counts(docs, near, held, n, percent, steps)
+    links = held.join(links, "cls", "left").select("cls", (F.col("held") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    out = named(chosen, near, links)
+    return out.select("doc_id", "n_shingles", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
+def linked(docs: DataFrame, n: int, percent: int, steps: Steps) -> tuple[DataFrame, DataFrame]:
+    """Each row's class, and the component of each class that has a link: (node, component)."""
+    spark = docs.sparkSession
     width, slices = 1 << 14, 1 << (SKETCH - 14)
 
     def count(batches):
@@ -220,12 +235,100 @@ def similar(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
         more = alike(others, sets_of(docs, others, steps, n), percent)
         joined = near.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
         near = components(joined.union(more), steps)
+    return chosen, near
+
+
+def named(chosen: DataFrame, near: DataFrame, links: DataFrame | None = None) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of each row, and the columns of `links` by class."""
     small = chosen.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least")).join(near.select(F.col("node").alias("cls"), "component"), "cls", "left")
     small = small.withColumn("component", F.coalesce("component", "cls"))
     roots = small.groupBy("component").agg(F.min("least").alias("component_id"))
     ids = small.join(roots, "component").select("cls", "component_id")
+    if links is not None:
+        ids = ids.join(links, "cls")
+    more = [c for c in ids.columns if c not in ("cls", "component_id")]
     out = chosen.select("doc_id", "n", "cls").join(ids, "cls", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), *more)
+
+
+def link_counts(docs: DataFrame, near: DataFrame, held: DataFrame, n: int, percent: int, steps: Steps) -> DataFrame:
+    """(cls, links): rows of other classes that a class is linked with. Only classes of one component can be.
+
+    Classes lie in bands by the logarithm of their size, so that linked ones are in the same band or in neighbouring ones,
+    and a component's band is dealt by hash to blocks of about BLOCK. Every two blocks of one band or two neighbouring
+    ones meet in one cell.
+    """
+    band = F.floor(F.log(F.col("n")) / float(np.log(100 / percent * (1 + 1e-9)))) if percent < 100 else F.col("n")
+    own = near.select(F.col("node").alias("cls"), "component").join(held, "cls").withColumn("band", band.cast("long"))
+    bands = own.groupBy("component", "band").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")).groupBy("component").agg(F.map_from_entries(F.collect_list(F.struct("band", "blocks"))).alias("bands"))
+    own = own.join(bands, "component").withColumn("block", F.expr("pmod(xxhash64(cls), bands[band])"))
+    # (left block's band and number, right block's, whether this class is of the right block)
+    cell = "named_struct('p', {}, 'i', {}, 'q', {}, 'j', {}, 'right', {})"
+    same = f"transform(sequence(0L, bands[band] - 1), k -> {cell.format('band', 'least(block, k)', 'band', 'greatest(block, k)', 'k < block')})"
+    up = f"if(bands[band + 1] is null, array(), transform(sequence(0L, bands[band + 1] - 1), k -> {cell.format('band', 'block', 'band + 1', 'k', 'false')}))"
+    down = f"if(bands[band - 1] is null, array(), transform(sequence(0L, bands[band - 1] - 1), k -> {cell.format('band - 1', 'k', 'band', 'block', 'true')}))"
+    met = own.select("cls", "component", "held", F.explode(F.expr(f"concat({same}, {up}, {down})")).alias("cell")).select("cls", "component", "held", "cell.*")
+    pairs = near.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    met = met.join(sets_of(docs, pairs, steps, n), "cls")
+    key = ["component", "p", "i", "q", "j"]
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = met.repartition(parts, *key).sortWithinPartitions(*key)
+
+    def degrees(t: dict[str, np.ndarray], a: int, b: int) -> np.ndarray:
+        """Of the rows a to b of one cell, how many rows of other classes each is linked with there."""
+        sets = [np.frombuffer(x, U64) for x in t["shingles"][a:b]]
+        size = np.array([len(x) for x in sets])
+        right, weight = t["right"][a:b].astype(bool), t["held"][a:b]
+        alone = t["p"][a] == t["q"][a] and t["i"][a] == t["j"][a]  # one block with itself
+        x = np.arange(b - a) if alone else np.flatnonzero(~right)
+        y = x if alone else np.flatnonzero(right)
+        out = np.zeros(b - a, np.int64)
+        if not len(x) or not len(y):
+            return out
+        values, place = np.unique(np.concatenate(sets), return_inverse=True)
+        row = np.repeat(np.arange(b - a), size)
+        by = np.argsort(place, kind="stable")
+        place, row = place[by], row[by]
+        common = np.zeros((len(x), len(y)))
+        for lo in range(0, len(values), COLUMNS):
+            f, g = np.searchsorted(place, [lo, lo + COLUMNS])
+            has = np.zeros((b - a, min(COLUMNS, len(values) - lo)), np.float32)
+            has[row[f:g], place[f:g] - lo] = 1
+            common += has[x] @ has[y].T
+        link = 100 * common >= percent * (size[x][:, None] + size[y][None, :] - common)
+        if alone:
+            np.fill_diagonal(link, False)
+        out[x] = link @ weight[y]
+        if not alone:
+            out[y] = weight[x] @ link
+        return out
+
+    def count(batches):
+        held_back: dict[str, np.ndarray] | None = None  # rows of a cell that may go on in the next batch
+        names = [*key, "cls", "held", "right", "shingles"]
+        for batch in chain(batches, [None]):
+            t = held_back
+            if batch is not None:
+                new = {c: batch[c].to_numpy(zero_copy_only=False) for c in names}
+                t = new if t is None else {c: np.concatenate([t[c], new[c]]) for c in names}
+            if t is None or not len(t["cls"]):
+                continue
+            m = len(t["cls"])
+            differ = np.zeros(m - 1, bool)
+            for c in key:
+                differ |= t[c][1:] != t[c][:-1]
+            starts = np.concatenate([[0], np.flatnonzero(differ) + 1])
+            ends = np.concatenate([starts[1:], [m]])
+            if batch is not None:
+                held_back = {c: x[starts[-1] :] for c, x in t.items()}
+                starts, ends = starts[:-1], ends[:-1]
+            if len(starts):
+                found = np.concatenate([degrees(t, a, b) for a, b in zip(starts, ends, strict=True)])
+                some = np.flatnonzero(found)
+                yield pa.RecordBatch.from_arrays([pa.array(t["cls"][: ends[-1]][some]), pa.array(found[some])], names=["cls", "links"])
+
+    found = met.select(*key, "cls", "held", "right", "shingles").mapInArrow(count, "cls long, links long")
+    return found.groupBy("cls").agg(F.sum("links").alias("links"))
 
 
 def sets_of(docs: DataFrame, pairs: DataFrame, steps: Steps, n: int) -> DataFrame:
@@ -281,7 +384,8 @@ def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     The columns of the input come back as they were. Of rows that repeat both doc_id and text one stays.
     """
     key = "__tabveil_component"
-    found = similar(docs, n, percent)
+    steps = Steps(docs.sparkSession)
+    found = named(*linked(docs_of(docs, "doc_id", "text"), n, percent, steps))
     keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")) | (F.col("n_shingles") == 0)).select(F.col("doc_id").alias(key)).distinct()
     out = docs.join(keep, docs["doc_id"].eqNullSafe(keep[key]), "left_semi")
     bare = F.col("text").isNull() | (F.length(F.regexp_replace("text", r"[\x20\x09-\x0D]+", "")) == 0)

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from tabveil.llm import quality, queries, secrets
+from tabveil.llm import jaccard, quality, queries, secrets
 from tests.llm import brute
 
 
@@ -47,3 +47,23 @@ def test_lm_query_counts_every_ngram(spark, sf_dir):
     want = brute.backoff([tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()], least=1)
     for r in queries.queries()["op9_lm_scoring"](spark, sf_dir).collect():
         assert (r["n_words"], r["log_score"]) == (want[r["doc_id"]][0], pytest.approx(want[r["doc_id"]][1], abs=1e-6))
+
+
+@pytest.mark.parametrize("name, n, percent", [("small", 4, 85), ("near", 4, 85), ("near", 2, 50), ("near", 3, 100)])
+def test_every_link_within_a_component_counts(spark, sf_dir, name, n, percent):
+    if name == "small":
+        docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    else:  # near copies of one text, of many sizes and more than a block, with repeats, so that components have links of all kinds
+        rng = np.random.default_rng(6)
+        base = [f"w{i}" for i in range(90)]
+        rows = []
+        for k in range(170):
+            w = list(base)
+            for i in rng.integers(0, len(w), rng.integers(0, 4)):
+                w[i] = f"x{rng.integers(0, 50)}"
+            rows.append((k, " ".join(w[: 90 - 6 * int(rng.integers(0, 6))])))
+        rows += [(500 + k, t) for k, t in rows[:9]] + [(900, None), (901, ""), (902, "alone")]
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = [(i, brute.shingles(t, n)) for i, t in docs.collect()]
+    want = {i: sum(i != j and bool(x) and 100 * len(x & y) >= percent * len(x | y) for j, y in sets) for i, x in sets}
+    assert {r["doc_id"]: r["n_links"] for r in jaccard.similar(docs, n, percent).collect()} == want
