@@ -14,18 +14,19 @@ from pyspark.sql import functions as F
 MODELS = ("dt", "lr", "rf", "gbt", "mlp")
 
 
-def classifier(kind: str, features: int, classes: int, seed: int = 42):
+def classifier(kind: str, features: int, classes: int, seed: int = 42, trees: int = 100, rounds: int = 100, units: int = 100, iterations: int = 1000):
+    """A classifier of the reference's size: trees of a forest, rounds of boosting, hidden units, iterations of a solver."""
     common = {"featuresCol": "features", "labelCol": "label"}
     if kind == "dt":
         return DecisionTreeClassifier(seed=seed, **common)
     if kind == "lr":
-        return LogisticRegression(maxIter=100, **common)
+        return LogisticRegression(maxIter=iterations, **common)
     if kind == "rf":
-        return RandomForestClassifier(seed=seed, numTrees=20, **common)
+        return RandomForestClassifier(seed=seed, numTrees=trees, **common)
     if kind == "gbt":  # boosting is binary here, hence one against the rest
-        return OneVsRest(classifier=GBTClassifier(seed=seed, maxIter=3, maxDepth=3, **common), **common)
+        return OneVsRest(classifier=GBTClassifier(seed=seed, maxIter=rounds, maxDepth=3, **common), **common)
     if kind == "mlp":
-        return MultilayerPerceptronClassifier(seed=seed, layers=[features, 32, classes], maxIter=50, **common)
+        return MultilayerPerceptronClassifier(seed=seed, layers=[features, units, classes], maxIter=iterations, **common)
     raise ValueError(f"unknown model {kind}")
 
 
@@ -40,20 +41,20 @@ def prepare(df: DataFrame, numbers: Sequence[str], categories: Sequence[str], ta
     return model, model.transform(train).select("features", "label").persist(), test
 
 
-def accuracy(kind: str, train: DataFrame, test: DataFrame, seed: int = 42):
-    """A fitted model and its accuracy on prepared rows."""
+def accuracy(kind: str, train: DataFrame, test: DataFrame, seed: int = 42, **sizes: int):
+    """A fitted model and its accuracy on prepared rows; `sizes` are those of classifier()."""
     classes = int(train.agg(F.max("label")).first()[0]) + 1
-    model = classifier(kind, len(train.first()["features"]), classes, seed).fit(train)
+    model = classifier(kind, len(train.first()["features"]), classes, seed, **sizes).fit(train)
     return model, MulticlassClassificationEvaluator(metricName="accuracy").evaluate(model.transform(test))
 
 
-def compare(raw: DataFrame, syn: DataFrame, numbers: Sequence[str], categories: Sequence[str], target: str, models: Sequence[str] = MODELS, seed: int = 42) -> DataFrame:
+def compare(raw: DataFrame, syn: DataFrame, numbers: Sequence[str], categories: Sequence[str], target: str, models: Sequence[str] = MODELS, seed: int = 42, **sizes: int) -> DataFrame:
     """(source, model, accuracy): each model trained on raw and on synthetic rows."""
     out = []
     for name, df in (("raw", raw), ("syn", syn)):
         model, train, test = prepare(df, numbers, categories, target, seed)
         ready = model.transform(test)
-        out += [(name, kind, float(accuracy(kind, train, ready, seed)[1])) for kind in models]
+        out += [(name, kind, float(accuracy(kind, train, ready, seed, **sizes)[1])) for kind in models]
         train.unpersist()
     return raw.sparkSession.createDataFrame(out, "source string, model string, accuracy double")
 

@@ -758,7 +758,7 @@ FIELDS = {"l_returnflag": FieldSpec("categorical"), "l_linestatus": FieldSpec("c
 @query()
 def synth_end_to_end(spark, d):
     raw = t(spark, d, "lineitem").select(*FIELDS)
-    config = RunConfig(num_synthesize_records=raw.count(), update_iterations=30, seed=1, pred_attr="l_returnflag", threshold=100)
+    config = RunConfig(num_synthesize_records=raw.count(), seed=1, pred_attr="l_returnflag", threshold=100)
     return Pipeline(config).run(raw, FIELDS).table
 
 
