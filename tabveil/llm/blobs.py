@@ -38,27 +38,50 @@ def unpack_planes(blob: bytes, dtype) -> np.ndarray:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir, the folder that all machines of the cluster share."""
+    """A new folder under spark.checkpoint.dir, which all machines of a cluster share; it goes when the driver ends.
+
+    Without that setting a local session (one machine) gets a folder of its own, a cluster an error.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
         import tempfile
 
-        root = f"{tempfile.gettempdir()}/checkpoints"  # only where no cluster names a folder, as in tests
+        root = f"{tempfile.gettempdir()}/checkpoints"
         spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/tabveil-{uuid.uuid4().hex}"
+    made = f"{root.rstrip('/')}/tabveil-{uuid.uuid4().hex}"
+    files, path = folder(spark, made)
+    files.mkdirs(path)
+    files.deleteOnExit(path)
+    return made
+
+
+def folder(spark: SparkSession, name: str):
+    """The file system of a folder, and its path there."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
 
 
 class Steps:
     """Tables written between the stages of one operator; each is read back with its lineage cut."""
 
     def __init__(self, spark: SparkSession) -> None:
-        self.spark, self.root, self.n = spark, scratch(spark), 0
+        self.spark, self.root, self.n, self.paths = spark, scratch(spark), 0, {}
 
     def keep(self, df: DataFrame) -> DataFrame:
         path = f"{self.root}/{self.n}"
         self.n += 1
         df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = (out, path)
+        return out
+
+    def drop(self, *kept: DataFrame) -> None:
+        """Delete kept tables that nothing reads any more."""
+        for df in kept:
+            files, path = folder(self.spark, self.paths.pop(id(df))[1])
+            files.delete(path, True)
 
 
 def bits_for(n: int, least: int = 20, most: int = 27) -> int:
