@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import base64
+import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,6 +13,8 @@ from pyspark.sql import functions as F
 
 # Fixed value: how the byte-level vocabulary splits a text into pieces.
 PIECES = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
+# Fixed value: the blanks that \\s stands for above.
+BLANKS = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{10000,}")
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 
@@ -23,6 +27,26 @@ def encoder(path: str = VOCABULARY):
     return tiktoken.Encoding("own", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={})
 
 
+def parts(text: str) -> Iterator[str]:
+    """The text cut around long runs of blanks, so that its parts encode to the tokens of the whole.
+
+    Of blanks before anything else, all but the last form one piece; the pattern would find that by as many nested
+    attempts as there are blanks. Blanks at the end of a text are one piece anyway.
+    """
+    at = 0
+    for run in BLANKS.finditer(text):
+        if run.end() < len(text):
+            yield text[at : run.start()]
+            yield text[run.start() : run.end() - 1]
+            at = run.end() - 1
+    yield text[at:]
+
+
+def size(code, text: str | None) -> int:
+    """Tokens of a whole text; 0 for null."""
+    return sum(len(code.encode_ordinary(part)) for part in parts(text or ""))
+
+
 def histogram(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
     """(length, n_docs): how many whole texts encode to each number of tokens. Null and empty texts have 0.
 
@@ -40,7 +64,7 @@ def histogram(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
         total: dict[int, int] = {}
         for batch in batches:
             for text in batch["text"]:
-                n = len(code.encode_ordinary(text.as_py() or ""))
+                n = size(code, text.as_py())
                 total[n] = total.get(n, 0) + 1
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], names=["length", "n_docs"])
 
