@@ -82,8 +82,8 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = 6_000, epochs: int
     n = known.count()
     if not n:
         return None
-    place = F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(1_000_000))
-    known = known.where(place < int(min(1.0, train_docs / n) * 1_000_000)).orderBy(place, "doc_id").limit(2 * train_docs)
+    place = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(8)), 11).cast("double") / float(1 << 53)  # a share of 1, however low the rate
+    known = known.where(place < min(1.0, train_docs / n)).orderBy(place, "doc_id").limit(2 * train_docs)
     some = docs_of(docs, "doc_id", "text").join(F.broadcast(known), "doc_id")
 
     def learn(table):
