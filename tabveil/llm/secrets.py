@@ -27,6 +27,7 @@ RATIO = 0.25  # nats a character by which a format must explain a run better tha
 ASSIGN = re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([a-z0-9+/_.=-]+)""")
 ACCESS = re.compile(rb"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(rb"[0-9a-f]{16,}")
+BLOCK = 2048  # characters of a long run that are taken together
 ALPHABET = np.zeros(256, bool)
 ALPHABET[[*range(48, 58), *range(65, 91), *range(97, 123), *b"+/_.=-"]] = True
 
@@ -172,11 +173,52 @@ def short_pairs(data: np.ndarray, offs: np.ndarray, free: np.ndarray) -> np.ndar
 Tables = tuple[np.ndarray, np.ndarray, np.ndarray]  # next states, log probabilities, log probabilities of ending
 
 
+def walk(x: np.ndarray, to: np.ndarray, log: np.ndarray) -> tuple[int, float]:
+    """State and sum of log probabilities after a long run, the same as step by step from state 0.
+
+    The run is cut into blocks. Each block is walked from every state side by side, and walks that meet in a state go on as
+    one, as most do within a few characters; then the blocks' maps from state to (state, sum) are composed.
+    """
+    n, state, total = len(to), 0, 0.0
+    for lo in range(0, len(x), 1024 * BLOCK):
+        part = x[lo : lo + 1024 * BLOCK]
+        m = len(part) // BLOCK
+        cells = part[: m * BLOCK].reshape(m, BLOCK)
+        block, at = np.repeat(np.arange(m), n), np.tile(np.arange(n, dtype=np.int32), m)
+        walks, sums = np.arange(m * n).reshape(m, n), np.zeros((m, n))
+        done, step = 0, 4
+        while m and done < BLOCK:
+            more = np.zeros(len(at))
+            for j in range(done, min(done + step, BLOCK)):
+                c = cells[block, j]
+                more += log[at, c]
+                at = to[at, c]
+            done, step = done + step, 2 * step
+            sums += more[walks]
+            met, same = np.unique(block * n + at, return_inverse=True)
+            walks, block, at = same[walks], met // n, (met % n).astype(np.int32)
+        ends = at[walks]
+        for k in range(m):
+            total += sums[k, state]
+            state = int(ends[k, state])
+        for c in part[m * BLOCK :]:
+            total += log[state, c]
+            state = int(to[state, c])
+    return state, total
+
+
 def likelihood(data: np.ndarray, start: np.ndarray, end: np.ndarray, machines: list[Tables], plain: np.ndarray) -> np.ndarray:
     """For each run the best format's log likelihood a character, over that of ordinary text."""
     if not len(start) or not machines:
         return np.full(len(start), -np.inf)
-    size = end - start
+    out = np.empty(len(start))
+    for k in np.flatnonzero(end - start > 2 * BLOCK):
+        x = data[start[k] : end[k]]
+        ordinary_sum = plain[10, x[0]] + plain[x[:-1], x[1:]].sum()
+        best = max(total + ends[state] for (to, log, ends) in machines for state, total in [walk(x, to, log)])
+        out[k] = (best - ordinary_sum) / len(x)
+    few = np.flatnonzero(end - start <= 2 * BLOCK)
+    start, size = start[few], end[few] - start[few]
     by = np.argsort(-size, kind="stable")
     start, size = start[by], size[by]
     states = [np.zeros(len(by), np.int32) for _ in machines]
@@ -195,16 +237,15 @@ def likelihood(data: np.ndarray, start: np.ndarray, end: np.ndarray, machines: l
         at += 1
         live = int(np.searchsorted(-size, -at, "left"))
     best = np.max([s + ends[q] for s, q, (_, _, ends) in zip(sums, states, machines, strict=True)], 0)
-    out = np.empty(len(by))
-    out[by] = (best - base_sum) / size
+    out[few[by]] = (best - base_sum) / size
     return out
 
 
-def train(docs: DataFrame, examples: int = 600) -> tuple[list[Tables], np.ndarray]:
+def train(docs: DataFrame, examples: int = 600, longest: int = 256) -> tuple[list[Tables], np.ndarray]:
     """Automata's tables and the model of ordinary text.
 
-    Learns from all documents: of the distinct credentials of each kind the `examples` of least hash, of ordinary text the
-    counts of all pairs of bytes in runs under LEAST characters. A task sends at most `examples` rows a kind and one a pair.
+    Learns from all documents: of the distinct credentials of each kind the `examples` of least hash among those of at most
+    `longest` bytes (a bounded sample of whole labelled credentials; longer ones are still found), of ordinary text the counts of all pairs of bytes in runs under LEAST characters. A task sends at most `examples` rows a kind and one a pair.
     """
 
     def label(batches):
@@ -222,8 +263,9 @@ def train(docs: DataFrame, examples: int = 600) -> tuple[list[Tables], np.ndarra
                 for lo, hi in zip(o[:-1], o[1:], strict=True):
                     text = part[lo:hi].tobytes()
                     for kind, s, e, vs, ve in base(text):
-                        value = text[vs:ve][:256]
-                        least[kind][blake2b(value, digest_size=8).digest()] = value
+                        if ve - vs <= longest:
+                            value = text[vs:ve]
+                            least[kind][blake2b(value, digest_size=8).digest()] = value
                         free[lo + s : lo + e] = False
                         if len(least[kind]) > 8 * examples:
                             cut(kind)
