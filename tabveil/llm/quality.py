@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tabveil.llm.blobs import Steps
+
 WORD = r"[^\x20\x09-\x0D]++"
 MARKS = "#*$%&|<>"
 WINDOW = 5
@@ -47,14 +49,18 @@ def rules(docs: DataFrame, least_docs: int = 20, left_percent: int = 30, least_w
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_boiler_words, base_failed, kept, text, by row.
 
     A line (compared without blanks and in lower case) is boilerplate on its host, the source, if it stands in more than
-    `least_docs` documents there, whatever the host's size. text is what is left when boilerplate lines are taken out;
-    other lines stay as they were, null stays null. A document is depleted if, without boilerplate, it has fewer than `least_words` words or under `left_percent` of them. kept is false if base_failed (fewer than 10
-    words, or over 20% of them in repeated windows) or if depleted. Null and empty texts have no words and fail. A null
-    source is a host of its own. Rows that repeat doc_id and text get the same result. An empty table gives none.
-
-    Up to `most_sent` boilerplate lines are broadcast. Of more, only those in over `hot_docs` documents are, at most one in
-    so many lines of the table, and the others are joined by shuffle. Texts are shuffled once.
+    `least_docs` documents there, whatever the host's size. Rows that repeat a doc_id are one document; rows of null
+    doc_id are told apart by their texts. text is what is left when boilerplate lines are taken out;
+    other lines stay as they were, null stays null. A document is depleted if, without boilerplate, it has fewer than
+    `least_words` words or under `left_percent` of them. kept is false if base_failed (fewer than 10 words, or over 20% of
+    them in repeated windows) or if depleted. Null and empty texts have no words and fail. A null source is a host of its
+    own. Rows that repeat doc_id, text and source get the same result. An empty table gives none.
+
+    Lines are counted by rows first, which combines before the shuffle; only those in over `least_docs` rows are looked up
+    again, for their distinct documents. Up to `most_sent` such lines are broadcast. Of more, only those in over `hot_docs`
+    rows are, at most one in so many lines of the table, and the others are joined by shuffle. Texts are shuffled once.
     """
+    steps = Steps(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("source").cast("string").alias("source"))
     key = F.xxhash64("text")
     words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(WORD), F.lit(0))
@@ -63,27 +69,34 @@ def rules(docs: DataFrame, least_docs: int = 20, left_percent: int = 30, least_w
     chars = F.coalesce(F.length(F.regexp_replace("text", r"[\x20\x09-\x0D]++", "")), F.lit(0)).cast("long")
     symbols = (length - F.coalesce(F.length(F.translate("text", MARKS, "")), F.lit(0))).cast("long")
     dup = bind(lines_of(F.col("text")), lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long")
-    base = rows.select("doc_id", "text", key.alias("__k"), stats.alias("s"), chars.alias("word_chars"), symbols.alias("n_symbols"), dup.alias("n_dup_lines"))
-    base = base.select("doc_id", "text", "__k", "s.n_words", "word_chars", "n_symbols", "n_dup_lines", "s.n_repeat_words")
+    base = rows.select("doc_id", "text", "source", key.alias("__k"), stats.alias("s"), chars.alias("word_chars"), symbols.alias("n_symbols"), dup.alias("n_dup_lines"))
+    base = base.select("doc_id", "text", "source", "__k", "s.n_words", "word_chars", "n_symbols", "n_dup_lines", "s.n_repeat_words")
     base = base.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
 
-    per_doc = rows.select("source", F.explode(F.array_distinct(F.transform(lines_of(F.col("text")), line_hash))).alias("line"))
-    often = per_doc.groupBy("source", "line").agg(F.count("*").alias("c")).where(F.col("c") > least_docs)
-    often = often.select(F.col("source").alias("__host"), F.col("line").alias("__line"), "c").persist()
-    few = often.limit(most_sent + 1).count() <= most_sent  # 500,000 rows of 30 bytes at most are broadcast
+    per_row = rows.select("source", F.explode(F.array_distinct(F.transform(lines_of(F.col("text")), line_hash))).alias("line"))
+    often = per_row.groupBy("source", "line").agg(F.count("*").alias("c")).where(F.col("c") > least_docs)
+    often = steps.keep(often.select(F.col("source").alias("__host"), F.col("line").alias("__line"), "c"))
+    few = often.count() <= most_sent  # 500,000 rows of 30 bytes at most are broadcast
+
+    def on_hosts(each: DataFrame, lines: DataFrame) -> DataFrame:
+        """Rows of `each` (source, line) that one of `lines` (__host, __line, c) names."""
+        same = F.col("source").eqNullSafe(F.col("__host")) & (F.col("line") == F.col("__line"))
+        lost = ("__host", "__line", "c")
+        if few:
+            return each.join(F.broadcast(lines), same).drop(*lost)
+        hot, rest = F.broadcast(lines.where(F.col("c") > hot_docs)), lines.where(F.col("c") <= hot_docs)
+        return each.join(hot, same).drop(*lost).union(each.join(hot, same, "left_anti").join(rest, same).drop(*lost))
 
     each = rows.select("doc_id", key.alias("__k"), "source", F.posexplode(F.split("text", "\n")).alias("at", "t")).where(F.col("t").rlike(r"[^\x20\x09-\x0D]"))
     each = each.select("doc_id", "__k", "source", "at", line_hash(F.col("t")).alias("line"), F.regexp_count("t", F.lit(WORD)).alias("n"))
-    same = F.col("source").eqNullSafe(F.col("__host")) & (F.col("line") == F.col("__line"))
-    if few:
-        boiler = each.join(F.broadcast(often), same).drop("__host", "__line", "c")
-    else:
-        hot, rest = F.broadcast(often.where(F.col("c") > hot_docs).drop("c")), often.where(F.col("c") <= hot_docs).drop("c")
-        boiler = each.join(hot, same).drop("__host", "__line").union(each.join(hot, same, "left_anti").join(rest, same).drop("__host", "__line"))
-    # the first step makes rows that repeat doc_id and text count once
-    boiler = boiler.groupBy("doc_id", "__k", "at").agg(F.max("n").alias("n")).groupBy("doc_id", "__k").agg(F.sum("n").alias("__b"), F.collect_list("at").alias("__at"))
-    boiler = boiler.select(F.col("doc_id").alias("__d"), F.col("__k").alias("__k2"), "__b", "__at")
-    out = base.join(boiler, F.col("doc_id").eqNullSafe(F.col("__d")) & F.col("__k").eqNullSafe(F.col("__k2")), "left")
+    each = steps.keep(on_hosts(each, often))
+    document = F.when(F.col("doc_id").isNull(), F.col("__k")).alias("__other")
+    ids = each.groupBy("source", "line", "doc_id", document).agg(F.lit(1).alias("one"))
+    many = steps.keep(ids.groupBy("source", "line").agg(F.count("*").alias("c")).where(F.col("c") > least_docs).select(F.col("source").alias("__host"), F.col("line").alias("__line"), "c"))
+    # the first step makes rows that repeat doc_id, text and source count once
+    boiler = on_hosts(each, many).groupBy("doc_id", "__k", "source", "at").agg(F.max("n").alias("n")).groupBy("doc_id", "__k", "source").agg(F.sum("n").alias("__b"), F.collect_list("at").alias("__at"))
+    boiler = boiler.select(F.col("doc_id").alias("__d"), F.col("__k").alias("__k2"), F.col("source").alias("__s"), "__b", "__at")
+    out = base.join(boiler, F.col("doc_id").eqNullSafe(F.col("__d")) & F.col("__k").eqNullSafe(F.col("__k2")) & F.col("source").eqNullSafe(F.col("__s")), "left")
     out = out.withColumn("__b", F.coalesce("__b", F.lit(0)))
     out = out.withColumn("n_boiler_words", F.least("__b", "n_words").cast("long"))
     left = F.col("n_words") - F.col("n_boiler_words")
