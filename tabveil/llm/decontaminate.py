@@ -12,11 +12,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tabveil.llm.blobs import Steps
+
 WORD = r"[^\x20\x09-\x0D]++"
-#: Any fifth of 10, 15 or 20 words may be substituted: one of these still fits somewhere (a test tries all cases).
-MASKS = ("1111", "11011")
-LEAST = 4  # words of the shortest item that is searched
-BLOCK = 16 << 20  # bytes of benchmark text that are joined at once
+#: (least words of an item, masks): up to a fifth of its words may be substituted and a mask still fits somewhere (a test
+#: tries all cases from 5 to 20 words). Of 4 words or fewer none may, so that they are sought as a whole sequence.
+MASKS = ((10, ("11101", "110011")), (5, ("1101", "1011")), (4, ("1111",)), (3, ("111",)), (2, ("11",)), (1, ("1",)))
+BLOCK = 4 << 20  # bytes of benchmark text that are joined at once
+SENT = 1_000_000  # rows of three numbers that are broadcast at most
 
 
 def words_of(text: Column) -> Column:
@@ -28,60 +31,64 @@ def bind(value: Column, use) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
-def seeds(words: Column) -> Column:
+def seeds(words: Column, masks: list[str]) -> Column:
     """For each position, the hash of each mask there; null where a mask doesn't fit."""
 
     def of_hashes(h: Column) -> Column:
         def at(i: Column) -> Column:
             out = []
-            for k, mask in enumerate(MASKS):
+            for mask in masks:
                 chosen = [F.get(h, i + j) for j, c in enumerate(mask) if c == "1"]
-                out.append(F.when(chosen[-1].isNotNull(), F.xxhash64(F.lit(k), *chosen)))
+                out.append(F.when(chosen[-1].isNotNull(), F.xxhash64(F.lit(mask), *chosen)))
             return F.array(*out)
 
-        return F.when(F.size(h) >= LEAST, F.flatten(F.transform(F.sequence(F.lit(0), F.size(h) - LEAST), at)))
+        return F.when(F.size(h) > 0, F.flatten(F.transform(F.sequence(F.lit(0), F.size(h) - 1), at)))
 
     return bind(F.transform(words, lambda w: F.xxhash64(w)), of_hashes)
 
 
-def places(seeded: DataFrame, *keep: str) -> DataFrame:
+def places(seeded: DataFrame, masks: list[str], *keep: str) -> DataFrame:
     """One row for each seed, with its position; only the named columns go along, never a text."""
     out = seeded.select(*keep, F.posexplode("seeds").alias("p", "seed")).where("seed is not null")
-    return out.select(*keep, F.expr(f"p div {len(MASKS)}").cast("int").alias("i"), "seed")
-
+    return out.select(*keep, F.expr(f"p div {len(masks)}").cast("int").alias("i"), "seed")
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = 80, window: int = 20) -> DataFrame:
-    """(doc_id, item_id, start_word, n_match, n_words) for each document and benchmark item that it holds.
 
-    An item is held if, laid over the document at one place, at least `percent` of some `window` consecutive words
-    of it agree (of all its words if it has fewer). Words are maximal runs other than space and 0x09-0x0D, lower-cased.
-    start_word is the first such place, n_match the most agreeing words. Items of fewer than 4 words, null and
-    empty texts hold nothing. Rows that repeat a doc_id count as one. Empty tables give no rows.
+def held(docs: DataFrame, benchmark: DataFrame, percent: int, window: int) -> DataFrame:
+    """(doc_id, key, item, item_id, start, n_match, n_words) of each place that holds an item; key is a hash of the text.
 
-    The benchmark is taken in blocks of at most BLOCK bytes, each broadcast: the one side whose size is checked.
+    Items are told apart by id and text, so null and repeated ids are items like others.
     """
-    items = benchmark.select(F.col("item_id").alias("item_id"), words_of(F.col("text")).alias("b"), F.octet_length("text").alias("size")).where(F.size("b") >= LEAST)
-    blocks = int((items.agg(F.sum("size")).first()[0] or 0) // BLOCK) + 1
+    steps = Steps(docs.sparkSession)
+    items = benchmark.select("item_id", F.col("text").cast("string").alias("text")).distinct()
+    items = items.select(F.xxhash64("item_id", F.lit(0), "text").alias("item"), "item_id", words_of(F.col("text")).alias("b"), F.octet_length("text").alias("size")).where(F.size("b") > 0)
+    facts = items.agg(F.sum("size"), F.collect_set(F.least(F.size("b"), F.lit(MASKS[0][0])))).first()  # ten numbers at most
+    blocks = int((facts[0] or 0) // BLOCK) + 1
     text = F.col("text").cast("string")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("key"))
-    here = places(rows.select("doc_id", "key", seeds(words_of(F.col("text"))).alias("seeds")), "doc_id", "key")
-    found = []
-    for k in range(blocks):
-        one = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k) if blocks > 1 else items
-        keyed = places(one.select("item_id", seeds(F.col("b")).alias("seeds")), "item_id").withColumnRenamed("i", "j")
-        near = here.join(F.broadcast(keyed), "seed").select("doc_id", "key", "item_id", (F.col("i") - F.col("j")).alias("start")).distinct()
-        # only texts with a hit are opened again; a document is told by its id and a hash of its text
-        near = near.select(F.col("doc_id").alias("__d"), F.col("key").alias("__k"), "item_id", "start")
-        found.append(near.join(F.broadcast(one.select("item_id", "b")), "item_id"))
-    hits = rows.join(reduce(DataFrame.union, found), F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("key") == F.col("__k")))
-    hits = hits.select("doc_id", "item_id", "text", "b", "start", F.least(F.size("b"), F.lit(window)).alias("span"))
+    tiers = [(least, more, masks) for (least, masks), more in zip(MASKS, [1 << 31, *(t for t, _ in MASKS)], strict=False) if any(least <= n < more for n in facts[1] or [])]
+    used = [m for _, _, masks in tiers for m in masks]
+    here = places(rows.select("doc_id", "key", seeds(words_of(F.col("text")), used).alias("seeds")), used, "doc_id", "key") if used else None
+    found = [rows.where("false").select(F.col("doc_id").alias("__d"), F.col("key").alias("__k"), F.lit(0).cast("long").alias("item"), F.lit(0).alias("start"))]
+    for k in range(blocks if used else 0):
+        one = items.where(F.pmod("item", F.lit(blocks)) == k) if blocks > 1 else items
+        keyed = [places(one.where((F.size("b") >= least) & (F.size("b") < more)).select("item", seeds(F.col("b"), list(masks)).alias("seeds")), list(masks), "item") for least, more, masks in tiers]
+        keyed = reduce(DataFrame.union, keyed).withColumnRenamed("i", "j")
+        near = here.join(F.broadcast(keyed), "seed").select(F.col("doc_id").alias("__d"), F.col("key").alias("__k"), "item", (F.col("i") - F.col("j")).alias("start"))
+        found.append(near.distinct())
+    near = steps.keep(reduce(DataFrame.union, found))
+    # only texts with a hit are opened again; a document is told by its id and a hash of its text
+    sent = F.broadcast(near) if near.count() <= SENT else near
+    hits = rows.join(sent, F.col("doc_id").eqNullSafe(F.col("__d")) & F.col("key").eqNullSafe(F.col("__k")))
+    laid = items.select("item", "item_id", "b")
+    hits = hits.join(F.broadcast(laid) if blocks == 1 else laid, "item")
+    hits = hits.select("doc_id", "key", "item", "item_id", "text", "b", "start", F.least(F.size("b"), F.lit(window)).alias("span"))
 
     def agree(w: Column) -> Column:
         there = lambda k: F.get(w, F.greatest(F.col("start") + k, F.lit(0)))
         return F.transform(F.col("b"), lambda x, k: F.when((F.col("start") + k >= 0) & (there(k) == x), 1).otherwise(0))
 
     same = bind(words_of(F.col("text")), agree)
-    hits = hits.select("doc_id", "item_id", "start", "span", F.size("b").alias("n_words"), same.alias("same"))
+    hits = hits.select("doc_id", "key", "item", "item_id", "start", "span", F.size("b").alias("n_words"), same.alias("same"))
     total = F.aggregate("same", F.lit(0), lambda acc, x: acc + x)
     hits = hits.select("*", total.alias("n_match")).where(F.col("n_match") * 100 >= F.col("span") * percent)
 
@@ -89,11 +96,32 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = 80, windo
         enough = lambda s: F.aggregate(F.slice(same, s + 1, F.col("span")), F.lit(0), lambda acc, x: acc + x) * 100 >= F.col("span") * percent
         return F.exists(F.sequence(F.lit(0), F.size(same) - F.col("span")), enough)
 
-    hits = hits.where(dense(F.col("same")))
-    return hits.groupBy("doc_id", "item_id").agg(F.min("start").cast("long").alias("start_word"), F.max("n_match").cast("long").alias("n_match"), F.max("n_words").cast("long").alias("n_words"))
+    return hits.where(dense(F.col("same"))).drop("same", "span")
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = 80, window: int = 20) -> DataFrame:
+    """(doc_id, item_id, start_word, n_match, n_words) for each document and benchmark item that it holds.
+
+    An item is held if, laid over the document at one place, at least `percent` of some `window` consecutive words
+    of it agree (of all its words if it has fewer). `percent` must be 80 or more: up to a fifth of substitutions is what the
+    masks are sure to find. Words are maximal runs other than space and 0x09-0x0D, lower-cased. start_word is the first
+    such place (negative if the item begins before the document), n_match the most agreeing words. Texts without
+    words, null ones among them, hold nothing and are held by nothing. Items are told apart by id and text: a null item_id is
+    an item like others, a repeated one with another text a further row. Rows that repeat a doc_id count as one document, and so
+    do rows of null doc_id. Further columns have no effect. Empty tables give no rows.
+
+    The benchmark is taken in blocks of at most BLOCK bytes, whose seeds are broadcast (80 MB at most).
+    """
+    if percent < 80:
+        raise ValueError("percent must be 80 or more")
+    hits = held(docs, benchmark, percent, window)
+    out = hits.groupBy("doc_id", "item", "item_id").agg(F.min("start").cast("long").alias("start_word"), F.max("n_match").cast("long").alias("n_match"), F.max("n_words").cast("long").alias("n_words"))
+    return out.drop("item")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, percent: int = 80, window: int = 20) -> DataFrame:
-    """The documents that hold no benchmark item, with their columns as they were."""
-    bad = contaminated(docs, benchmark, percent, window).select(F.col("doc_id").alias("__tabveil_bad")).distinct()
-    return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(bad["__tabveil_bad"]), "left_anti")
+    """The rows that hold no benchmark item, with their columns as they were; each row is judged by its own text."""
+    bad = held(docs, benchmark, percent, window).select(F.col("doc_id").alias("__tabveil_d"), F.col("key").alias("__tabveil_k")).distinct()
+    bad = Steps(docs.sparkSession).keep(bad)
+    same = docs["doc_id"].cast("long").eqNullSafe(bad["__tabveil_d"]) & (F.xxhash64(docs["text"].cast("string")) == bad["__tabveil_k"])
+    return docs.join(F.broadcast(bad) if bad.count() <= SENT else bad, same, "left_anti")
