@@ -38,13 +38,41 @@ def batch_grams(column, order: int):
     return row, out
 
 
-def score(docs: DataFrame, order: int = 3, backoff: float = 0.4, least: int = 2, batch_mb: float = 16, bucket_grams: int = 2_000_000) -> DataFrame:
-    """(doc_id, n_words, log_score, per_word): sums of natural logs of stupid-backoff scores over each document's words.
+def own_counts(row: np.ndarray, g: np.ndarray) -> np.ndarray:
+    """How often each n-gram stands in its own row."""
+    by = np.lexsort((g, row))
+    new = np.ones(len(by), bool)
+    new[1:] = (g[by][1:] != g[by][:-1]) | (row[by][1:] != row[by][:-1])
+    first = np.flatnonzero(new)
+    out = np.empty(len(by), np.int64)
+    out[by] = np.repeat(np.diff(np.append(first, len(by))), np.diff(np.append(first, len(by))))
+    return out
+
+
+def log_scores(counts: list[np.ndarray], inside: list[np.ndarray], n_words: np.ndarray, backoff: float) -> np.ndarray:
+    """Log of each word's score from the counts of its n-grams; a word counts once at least, so that no score is 0."""
+    logs, open_ = np.zeros(len(n_words)), np.ones(len(n_words), bool)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        for n in range(len(counts), 0, -1):
+            c = counts[n - 1] if n > 1 else np.maximum(counts[0], 1)
+            below = np.concatenate([[0], counts[n - 2][:-1]]) if n > 1 else np.maximum(n_words, 1)
+            hit = open_ & (c > 0)
+            logs[hit] += np.log(c[hit] / below[hit])
+            open_ &= ~hit
+            if n > 1:  # there is a longer history to give up only where the document has one
+                logs[open_ & inside[n - 1]] += np.log(backoff)
+    return logs
+
+
+def score(docs: DataFrame, order: int = 3, backoff: float = 0.4, least: int = 1, batch_mb: float = 16, bucket_grams: int = 2_000_000) -> DataFrame:
+    """(doc_id, n_words, log_score, per_word, rest_score, rest_per_word): sums of natural logs of stupid-backoff scores.
 
     The score of a word after its history is count(history, word) / count(history) for the longest n-gram of at most
     `order` words, within the document, that the corpus has `least` times or more; each shorter step costs a factor
-    `backoff`, and a word alone scores its count over all words. Words are maximal runs other than space and
-    0x09-0x0D, with A-Z lower-cased. Null and empty texts: 0 words, score 0, per_word null. Counts are over
+    `backoff`, and a word alone scores its count over all words. log_score takes the counts of the whole corpus; rest_score
+    takes them without the row's own text (a word that no other row has counts once), so that it tells a text that the
+    corpus has elsewhere from one that it has not. The per_word columns are over n_words. Words are maximal runs other than
+    space and 0x09-0x0D, with A-Z lower-cased. Null and empty texts: 0 words, scores 0, per_word null. Counts are over
     all rows, repeated ones included; equal texts get equal scores. An empty table gives none.
     """
     docs = docs_of(docs, "doc_id", "text")
@@ -63,18 +91,17 @@ def score(docs: DataFrame, order: int = 3, backoff: float = 0.4, least: int = 2,
             cut = np.searchsorted(values // step, np.arange(buckets + 1))
             for b in np.flatnonzero(np.diff(cut)):
                 v = values[cut[b] : cut[b + 1]]
-                for name, x in (("batch", key[0].as_py()), ("bucket", int(b)), ("n", n), ("grams", pack_planes(np.diff(v, prepend=U64(0)))), ("counts", pack_planes(counts[cut[b] : cut[b + 1]].astype(np.uint32)))):
+                for name, x in (("batch", key[0].as_py()), ("bucket", int(b)), ("n", n), ("grams", pack_planes(np.diff(v, prepend=U64(0)))), ("counts", pack_planes(counts[cut[b] : cut[b + 1]].astype(np.uint64)))):
                     out[name].append(x)
         return pa.table({"batch": pa.array(out["batch"], pa.int64()), "bucket": pa.array(out["bucket"], pa.int32()), "n": pa.array(out["n"], pa.int32()), "grams": pa.array(out["grams"], pa.binary()), "counts": pa.array(out["counts"], pa.binary())})
 
     def add(key, table):
         asked = [np.cumsum(unpack_planes(x.as_py(), U64), dtype=U64) for x in table["grams"]]
-        told = [unpack_planes(x.as_py(), np.uint32) for x in table["counts"]]
+        told = [unpack_planes(x.as_py(), np.uint64) for x in table["counts"]]
         values, place = np.unique(np.concatenate(asked), return_inverse=True)
-        sums = np.bincount(place, weights=np.concatenate(told)).astype(np.uint32)
+        sums = np.bincount(place, weights=np.concatenate(told).astype(np.float64)).astype(np.uint64)  # exact up to 2**53
         ends = np.cumsum([len(x) for x in asked])
-        floor = np.where(table["n"].to_numpy() > 1, least, 1)
-        blobs = [pack_planes(np.where(s >= f, s, 0).astype(np.uint32)) for s, f in zip(np.split(sums[place], ends[:-1]), floor, strict=True)]
+        blobs = [pack_planes(s) for s in np.split(sums[place], ends[:-1])]
         return pa.table({"batch": table["batch"], "bucket": table["bucket"], "n": table["n"], "totals": pa.array(blobs, pa.binary())})
 
     def finish(key, table, answers):
@@ -82,35 +109,28 @@ def score(docs: DataFrame, order: int = 3, backoff: float = 0.4, least: int = 2,
         blobs = {}
         for n, b, blob in zip(answers["n"].to_pylist(), answers["bucket"].to_pylist(), answers["totals"].to_pylist(), strict=True):
             blobs.setdefault(n, {})[b] = blob
-        counts = []
+        words_in = np.bincount(row, minlength=len(table)).astype(np.int64)
+        counts, rest, inside = [], [], []
         for n, (g, at) in enumerate(by_n, 1):
-            c = np.zeros(len(row), np.int64)
+            c, own, has = np.zeros(len(row), np.int64), np.zeros(len(row), np.int64), np.zeros(len(row), bool)
             if len(g):
-                values, place = np.unique(g, return_inverse=True)
-                told = np.concatenate([unpack_planes(blobs[n][b], np.uint32) for b in sorted(blobs[n])])
-                assert len(told) == len(values)
+                _, place = np.unique(g, return_inverse=True)
+                told = np.concatenate([unpack_planes(blobs[n][b], np.uint64) for b in sorted(blobs[n])]).astype(np.int64)
                 c[at] = told[place]
-            counts.append(c)
-        # log of count(n-gram) / count(history) from the longest n-gram down
-        logs, open_ = np.zeros(len(row)), np.ones(len(row), bool)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            for n in range(order, 0, -1):
-                c = counts[n - 1]
-                below = np.concatenate([[0], counts[n - 2][:-1]]) if n > 1 else np.full(len(row), n_words)
-                hit = open_ & (c > 0)
-                logs[hit] += np.log(c[hit] / below[hit])
-                open_ &= ~hit
-                if n > 1:  # there is a longer history to give up only where the document has one
-                    inside = np.zeros(len(row), bool)
-                    inside[by_n[n - 1][1]] = True
-                    logs[open_ & inside] += np.log(backoff)
-        n_docs = len(table)
-        words_in = np.bincount(row, minlength=n_docs).astype(np.int64)
-        total = np.bincount(row, weights=logs, minlength=n_docs)
-        per = pa.array(total / np.maximum(words_in, 1), mask=words_in == 0)
-        return pa.table({"doc_id": table["doc_id"], "n_words": words_in, "log_score": total, "per_word": per})
+                own[at] = own_counts(row[at], g)
+                has[at] = True
+            floor = least if n > 1 else 1
+            counts.append(np.where(c >= floor, c, 0))
+            rest.append(np.where(c - own >= floor, c - own, 0))
+            inside.append(has)
+        columns = {"doc_id": table["doc_id"], "n_words": words_in}
+        for name, known, every in (("log_score", counts, np.full(len(row), n_words)), ("rest_score", rest, n_words - words_in[row])):
+            total = np.bincount(row, weights=log_scores(known, inside, every, backoff), minlength=len(table))
+            columns[name] = total
+            columns[name.replace("log_score", "per_word").replace("rest_score", "rest_per_word")] = pa.array(total / np.maximum(words_in, 1), mask=words_in == 0)
+        return pa.table(columns)
 
     sent = "batch long, bucket int, n int, grams binary, counts binary"
     back = "batch long, bucket int, n int, totals binary"
     answers = dealt.groupBy("batch").applyInArrow(send, sent).groupBy("bucket").applyInArrow(add, back)
-    return dealt.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(finish, "doc_id long, n_words long, log_score double, per_word double")
+    return dealt.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(finish, "doc_id long, n_words long, log_score double, per_word double, rest_score double, rest_per_word double")
