@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabveil.llm import classifier, decontaminate, jaccard, lines, lm, mixing, quality, secrets, suffix, tokens
+from tabveil.llm import classifier, decontaminate, jaccard, lines, lm, mixing, oracles, quality, secrets, suffix, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,7 +25,10 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken", "position")
+    out = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    copies = F.size("positions")
+    last = F.when(copies > 0, F.get("positions", copies - 1))
+    return out.select("doc_id", "size", "source_size", "target", "taken", copies.cast("long").alias("copies"), F.round("position", 9).alias("position"), F.round(last, 9).alias("last_position"))
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,7 +59,7 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm.score(table(spark, sf_dir, "documents"), least=1)
+    return lm.score(table(spark, sf_dir, "documents"))
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,4 +78,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracles.ORACLE)
