@@ -89,7 +89,7 @@ def leaks(rows: list[tuple[int, str | None]], items: list[tuple[int, str | None]
         for k, x in enumerate(w):
             place[x].append(k)
         for i, b in lists:
-            if len(b) < 4:
+            if not b:
                 continue
             span = min(len(b), window)
             hits: dict[int, list[int]] = defaultdict(list)
@@ -149,7 +149,7 @@ def lines(rows: list[tuple[int, str | None]], least: int = 40, copies: int = 5)
     return out
 
 
-def backoff(rows: list[tuple[int, str | None]], order: int = 3, factor: float = 0.4, least: int = 2) -> dict[int, tuple[int, float]]:
+def backoff(rows: list[tuple[int, str | None]], order: int = 3, factor: float = 0.4, least: int = 1) -> dict[int, tuple[int, float]]:
     texts = {i: WORD.findall((t or "").translate(FOLD)) for i, t in rows}
     counts: Counter = Counter()
     for w in texts.values():
@@ -173,6 +173,65 @@ def backoff(rows: list[tuple[int, str | None]], order: int = 3, factor: float =
     return out
 
 
+def rest(rows: list[tuple[int, str | None]], order: int = 3, factor: float = 0.4) -> dict[int, float]:
+    """Scores of each text under the counts of all other rows; a word that they don't have counts once."""
+    out = {}
+    for i, t in rows:
+        counts: Counter = Counter()
+        for k, other in rows:
+            if k != i:
+                w = WORD.findall((other or "").translate(FOLD))
+                for n in range(1, order + 1):
+                    counts.update(tuple(w[j : j + n]) for j in range(len(w) - n + 1))
+        total = max(1, sum(c for g, c in counts.items() if len(g) == 1))
+        w, score = WORD.findall((t or "").translate(FOLD)), 0.0
+        for k in range(len(w)):
+            for n in range(min(order, k + 1), 0, -1):
+                gram = tuple(w[k - n + 1 : k + 1])
+                if n == 1:
+                    score += math.log(max(1, counts[gram]) / total)
+                elif counts[gram]:
+                    score += math.log(counts[gram] / counts[gram[:-1]])
+                    break
+                else:
+                    score += math.log(factor)
+        out[i] = score
+    return out
+
+
+def due(share: float, slope: float, steps: int = 20_000) -> float:
+    """The t at which the sum of 1 + slope * (2t - 1) over small steps reaches `share`."""
+    total = 0.0
+    for k in range(steps):
+        more = (1 + slope * (2 * (k + 0.5) / steps - 1)) / steps
+        if total + more >= share:
+            return (k + (share - total) / more) / steps
+        total += more
+    return 1.0
+
+
+def ftrl(examples: list[tuple[dict[int, float], float]], order: list[list[int]], alpha: float = 0.5, beta: float = 1.0, l1: float = 0.02, l2: float = 0.1) -> dict[int, float]:
+    """Weights after passes over sparse examples, one coordinate at a time."""
+    z: dict = defaultdict(float)
+    n: dict = defaultdict(float)
+
+    def weight(k):
+        if abs(z[k]) <= l1:
+            return 0.0
+        return -(z[k] - math.copysign(l1, z[k])) / ((beta + math.sqrt(n[k])) / alpha + l2)
+
+    for one in order:
+        for e in one:
+            x, y = examples[e]
+            w = {k: weight(k) for k in x}
+            p = 1 / (1 + math.exp(-sum(w[k] * v for k, v in x.items())))
+            for k, v in x.items():
+                g = (p - y) * v
+                z[k] += g - (math.sqrt(n[k] + g * g) - math.sqrt(n[k])) / alpha * w[k]
+                n[k] += g * g
+    return {k: weight(k) for k in z}
+
+
 def targets(sizes: dict[str | None, int], weights=(1, 2, 3), limit: float = 3.0) -> dict[str | None, float]:
     """Rounds of sharing by weight, each source stopping at its limit."""
     names = sorted(sizes, key=lambda s: (s is None, s or ""))
