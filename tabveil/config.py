@@ -60,6 +60,7 @@ class RunConfig:
     threshold: float = 20_000
     # beyond the options that a run has always had
     combine_cells: int = 5_000
+    initial_marginals: tuple[tuple[str, ...], ...] = ()  # for marginal_manual; on the command line as a_b,c_d
     noise: str = "random"  # or "none", or "keyed" for tests only: a known seed is not private
     seed: int | None = None
     charge_recode: bool = True
@@ -77,11 +78,16 @@ def str2bool(text: str | bool) -> bool:
     raise argparse.ArgumentTypeError("a boolean is needed")
 
 
+def marginal_list(text: str) -> tuple[tuple[str, ...], ...]:
+    """Marginals such as a_b,c_d."""
+    return tuple(tuple(m.split("_")) for m in text.split(",") if m)
+
+
 def parser() -> argparse.ArgumentParser:
     """A command line with one option for each field of RunConfig."""
     out = argparse.ArgumentParser(description=__doc__)
     for f in fields(RunConfig):
-        kind = str2bool if isinstance(f.default, bool) else type(f.default) if f.default is not None else (int if f.name == "seed" else str)
+        kind = str2bool if isinstance(f.default, bool) else marginal_list if isinstance(f.default, tuple) else type(f.default) if f.default is not None else (int if f.name == "seed" else str)
         out.add_argument(f"--{f.name}", type=kind, default=f.default)
     return out
 

@@ -2,28 +2,55 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tabveil.config import FieldSpec
 from tabveil.domain import Domain
 from tabveil.functions.binning import bin_exponential, bin_integer, bin_ip, bin_port, unbin
 
-WINDOW_ROWS = 2_000_000  # above this, distinct values are numbered after a distributed sort
+LOCAL_VALUES = 100_000  # distinct values of all columns together that are numbered on the driver
+LITERALS = 64  # values that are looked up in a literal array instead of a joined table
 BROADCAST_ROWS = 1_000_000
 TS_DIFF = "ts_diff"
 
 
 def dictionary(df: DataFrame, value: Column) -> DataFrame:
-    """(raw, code): distinct values numbered from 0 in their order. Nulls have no code."""
-    distinct = df.select(value.alias("raw")).where("raw is not null").distinct()
-    if distinct.count() <= WINDOW_ROWS:
-        return distinct.select("raw", (F.row_number().over(Window.orderBy("raw")) - 1).cast("int").alias("code"))
-    numbered = distinct.orderBy("raw").rdd.zipWithIndex().map(lambda x: (x[0][0], x[1]))
-    return df.sparkSession.createDataFrame(numbered, distinct.withColumn("code", F.lit(0).cast("long")).schema)
+    """(raw, code): distinct values numbered from 0 in their order. Nulls have no code.
+
+    A distributed sort; a value's number is its place in its partition after the sizes of earlier ones.
+    """
+    ordered = df.select(value.alias("raw")).where("raw is not null").distinct().orderBy("raw")
+    placed = ordered.withColumn("__m", F.monotonically_increasing_id()).withColumn("__p", F.shiftright("__m", 33)).persist()
+    sizes = placed.groupBy("__p").agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a partition
+    offsets = sizes.select("__p", before.alias("__before"))
+    number = F.col("__before") + F.col("__m").bitwiseAND((1 << 33) - 1)
+    return placed.join(F.broadcast(offsets), "__p").select("raw", number.cast("int").alias("code"))
+
+
+def distinct_values(df: DataFrame, columns: Mapping[str, Column]) -> dict[str, list] | None:
+    """The sorted values of each column from one job; None if all columns together have more than LOCAL_VALUES."""
+    names = list(columns)
+    stacked = df.select(*(c.alias(n) for n, c in columns.items()))
+    grouped = stacked.groupingSets([[F.col(n)] for n in names], *names).agg(F.grouping_id().alias("__g"))
+    rows = grouped.limit(LOCAL_VALUES + 1).collect()
+    if len(rows) > LOCAL_VALUES:
+        return None
+    out: dict[str, list] = {n: [] for n in names}
+    mask = {(1 << len(names)) - 1 - (1 << (len(names) - 1 - k)): n for k, n in enumerate(names)}
+    for r in rows:
+        if r[mask[r["__g"]]] is not None:
+            out[mask[r["__g"]]].append(r[mask[r["__g"]]])
+    return {n: sorted(v, key=lambda x: (x != x, x)) for n, v in out.items()}  # as Spark sorts: NaN last
+
+
+def table_of(spark: SparkSession, values: list, kind: str) -> DataFrame:
+    """(raw, code) of sorted values."""
+    return spark.createDataFrame(list(zip(values, range(len(values)), strict=True)), f"raw {kind}, code int")
 
 
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
@@ -31,12 +58,38 @@ def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+def lookup(df: DataFrame, value: Column, codes: DataFrame, to: str) -> DataFrame:
+    codes = codes.select(F.col("raw").alias("__r"), F.col("code").alias("__c"))
+    joined = df.withColumn("__raw", value).join(codes, F.col("__raw") == F.col("__r"), "left")
+    return joined.withColumn(to, F.col("__c")).drop("__raw", "__r", "__c")
+
+
+def labels(df: DataFrame, columns: Mapping[str, Column]) -> tuple[DataFrame, dict[str, int]]:
+    """The table with codes of the columns' values under the given names, and how many codes each has."""
+    spark = df.sparkSession
+    kinds = dict(df.select(*(c.alias(n) for n, c in columns.items())).dtypes)
+    values = distinct_values(df, columns)
+    out, later, sizes = df, {}, {}
+    for n, c in columns.items():
+        if values is None:
+            codes = dictionary(df, c)
+            sizes[n] = codes.count()
+            out, later[f"__to_{n}"] = lookup(out, c, F.broadcast(codes) if sizes[n] <= BROADCAST_ROWS else codes, f"__to_{n}"), n
+        elif len(values[n]) <= LITERALS:
+            sizes[n] = len(values[n])
+            place = F.array_position(F.array(*(F.lit(v).cast(kinds[n]) for v in values[n])), c) - 1 if values[n] else F.lit(None)
+            out, later[f"__to_{n}"] = out.withColumn(f"__to_{n}", place.cast("int")), n
+        else:
+            sizes[n] = len(values[n])
+            out, later[f"__to_{n}"] = lookup(out, c, F.broadcast(table_of(spark, values[n], kinds[n])), f"__to_{n}"), n
+    kept = [c for c in df.columns if c not in columns]
+    order = [c if c not in columns else f"__to_{c}" for c in df.columns] + [f"__to_{n}" for n in columns if n not in df.columns]
+    return out.select(*(F.col(f"`{c}`") if c in kept else F.col(f"`{c}`").alias(later[c]) for c in order)), sizes
+
+
 def label(df: DataFrame, column: str, value: Column | None = None, to: str | None = None) -> DataFrame:
     """The table with a column's dictionary codes."""
-    codes = dictionary(df, F.col(column) if value is None else value)
-    codes = codes.select(F.col("raw").alias("__r"), F.col("code").alias("__c"))
-    joined = df.withColumn("__raw", F.col(column) if value is None else value).join(small(codes), F.col("__raw") == F.col("__r"), "left")
-    return joined.withColumn(to or column, F.col("__c")).drop("__raw", "__r", "__c")
+    return labels(df, {to or column: F.col(column) if value is None else value})[0]
 
 
 def epoch(c: Column, kind: str) -> Column:
@@ -54,8 +107,8 @@ class CodecModel:
     firsts: dict[str, int] = field(default_factory=dict)
     lows: dict[str, int] = field(default_factory=dict)
 
-    def encode(self, df: DataFrame) -> DataFrame:
-        """Codes of all fields in the domain's order; ts_diff, if there is a timestamp, comes last."""
+    def encode(self, df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+        """Codes of all fields in the domain's order, after the columns to keep; ts_diff, if there is a timestamp, comes last."""
         kinds = dict(df.dtypes)
         out = df
         for c, first in self.firsts.items():
@@ -68,9 +121,8 @@ class CodecModel:
             if c in self.lows:
                 out = out.withColumn(c, (F.col(c) - self.lows[c]).cast("int"))
         for c, table in self.dictionaries.items():
-            codes = table.select(F.col("raw").alias("__r"), F.col("code").alias("__c"))
-            out = out.join(small(codes), F.col(c) == F.col("__r"), "left").withColumn(c, F.col("__c")).drop("__r", "__c")
-        return out.select(*(F.col(a).cast("int").alias(a) for a in self.domain.attrs))
+            out = lookup(out, F.col(c), F.broadcast(table) if self.domain[c] <= BROADCAST_ROWS else table, c)
+        return out.select(*keep, *(F.col(a).cast("int").alias(a) for a in self.domain.attrs))
 
     def decode(self, df: DataFrame, seed: int | None = None, use_diff: bool = False) -> DataFrame:
         """Random raw values in each code's bin; unknown codes become 0, ts_diff is dropped, or with use_diff added to its timestamp."""
@@ -79,7 +131,8 @@ class CodecModel:
             s = None if seed is None else seed + k
             if c in self.dictionaries:
                 codes = self.dictionaries[c].select(F.col("code").alias("__c"), F.col("raw").alias("__r"))
-                out = out.join(small(codes), F.col(c) == F.col("__c"), "left").withColumn(c, F.col("__r")).drop("__r", "__c")
+                codes = F.broadcast(codes) if self.domain[c] <= BROADCAST_ROWS else codes
+                out = out.join(codes, F.col(c) == F.col("__c"), "left").withColumn(c, F.col("__r")).drop("__r", "__c")
             if c in self.lows:
                 out = out.withColumn(c, F.col(c) + self.lows[c])
             if spec.kind != "categorical":
@@ -110,7 +163,7 @@ def binned(c: Column, spec: FieldSpec, kind: str, first: int | None = None) -> C
 
 
 def fit(df: DataFrame, fields: Mapping[str, FieldSpec]) -> CodecModel:
-    """One job for all least and largest bins, and one for each dictionary."""
+    """One job for the first timestamps, one for all least and largest bins, one for all dictionaries that are small together."""
     unknown = [c for c in fields if c not in df.columns]
     if unknown:
         raise KeyError(f"no such columns: {unknown}")
@@ -121,6 +174,8 @@ def fit(df: DataFrame, fields: Mapping[str, FieldSpec]) -> CodecModel:
     values = {c: binned(F.col(c), fields[c], kinds[c], firsts.get(c)) for c in ranged}
     got = df.agg(*(f(values[c]).cast("long").alias(f"{n}_{c}") for c in ranged for n, f in (("low", F.min), ("high", F.max)))).first() if ranged else {}
     sizes, lows, tables = {}, {}, {}
+    listed = {c: binned(F.col(c), s, kinds[c]) for c, s in fields.items() if c not in ranged}
+    found = distinct_values(df, listed) if listed else {}
     for c, s in fields.items():
         if c in ranged:
             low = got[f"low_{c}"] if s.kind.endswith("exponential") else 0
@@ -128,8 +183,9 @@ def fit(df: DataFrame, fields: Mapping[str, FieldSpec]) -> CodecModel:
                 lows[c] = low or 0
             sizes[c] = (got[f"high_{c}"] or 0) - (low or 0) + 1
         else:
-            tables[c] = dictionary(df, binned(F.col(c), s, kinds[c])).persist()
-            sizes[c] = tables[c].count()
+            raw = dict(df.select(listed[c].alias("raw")).dtypes)["raw"]
+            tables[c] = dictionary(df, listed[c]) if found is None else table_of(df.sparkSession, found[c], raw)
+            sizes[c] = tables[c].count() if found is None else len(found[c])
     for c in stamps:
         if fields[c].diff_bin:
             sizes[TS_DIFF] = int(fields[c].bin // fields[c].diff_bin) + 1

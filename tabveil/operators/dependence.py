@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import combinations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabveil.domain import Domain
@@ -16,28 +16,24 @@ def pair_dependence(df: DataFrame, domain: Domain, attrs: Sequence[str] | None =
     """(first_attr, second_attr, num_cells, error): the sum over all cells of |P(a, b) - P(a) P(b)|.
 
     Only combinations that occur are made: the cells that don't add up to 1 - sum of P(a) P(b) over those that do.
-    All pairs and singles come from shared scans, so no job runs for each pair.
+    All pairs come from shared scans, and single attributes and the total from the pairs' cells. Rows with a null in a pair
+    count in its total only.
     """
     attrs = list(attrs or domain.attrs)
     pairs = list(combinations(attrs, 2))
-    code = lambda name: F.array(*(F.col(a).cast("long") for a in attrs))[F.array_position(F.array(*(F.lit(a) for a in attrs)), name).cast("int") - 1]
-    singles = count_sets(df, [(a,) for a in attrs]).select(F.col("view").alias("attr"), code(F.col("view")).alias("code"), "count")
-    two = count_sets(df, pairs).withColumn("first_attr", F.split("view", ",")[0]).withColumn("second_attr", F.split("view", ",")[1])
-    two = two.select("first_attr", "second_attr", code(F.col("first_attr")).alias("a"), code(F.col("second_attr")).alias("b"), F.col("count").alias("c"))
-    x = singles.select(F.col("attr").alias("first_attr"), F.col("code").alias("a"), F.col("count").alias("ca"))
-    y = singles.select(F.col("attr").alias("second_attr"), F.col("code").alias("b"), F.col("count").alias("cb"))
-    total = F.broadcast(df.agg(F.count("*").cast("double").alias("n")))
-    both = two.join(x, ["first_attr", "a"]).join(y, ["second_attr", "b"]).crossJoin(total)
+    code = lambda name: F.coalesce(*(F.when(name == a, F.col(a).cast("long")) for a in attrs))
+    names = F.split("view", ",")
+    two = count_sets(df, pairs).select("view", names[0].alias("first_attr"), names[1].alias("second_attr"), code(names[0]).alias("a"), code(names[1]).alias("b"), F.col("count").alias("c"))
+    over = lambda *by: F.sum("c").over(Window.partitionBy("view", *by)).cast("double")
+    both = two.withColumn("ca", over("a")).withColumn("cb", over("b")).withColumn("n", over()).where("a is not null and b is not null")
     p, q = F.col("c") / F.col("n"), F.col("ca") / F.col("n") * (F.col("cb") / F.col("n"))
     error = F.sum(F.abs(p - q)) + 1 - F.sum(q)
     size = F.create_map(*(F.lit(v) for (a, b) in pairs for v in (f"{a},{b}", int(domain[a]) * int(domain[b]))))
-    return both.groupBy("first_attr", "second_attr").agg(error.alias("error")).select("first_attr", "second_attr", F.element_at(size, F.concat_ws(",", "first_attr", "second_attr")).cast("long").alias("num_cells"), "error")
+    return both.groupBy("first_attr", "second_attr", "view").agg(error.alias("error")).select("first_attr", "second_attr", F.element_at(size, F.col("view")).cast("long").alias("num_cells"), "error")
 
 
 def connect_isolated(dependence: DataFrame, attrs: Sequence[str], selected: Sequence[str]) -> DataFrame:
     """(attr, first_attr, second_attr): for each attribute not selected, its pair of highest error with a selected one."""
-    from pyspark.sql import Window
-
     missing = [a for a in attrs if a not in selected]
     ends = dependence.withColumn("attr", F.explode(F.array("first_attr", "second_attr"))).withColumn("other", F.when(F.col("attr") == F.col("first_attr"), F.col("second_attr")).otherwise(F.col("first_attr")))
     ends = ends.where(F.col("attr").isin(missing) & F.col("other").isin(list(selected)))

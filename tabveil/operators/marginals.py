@@ -28,6 +28,12 @@ def cells(spark: SparkSession, domain: Domain, attrs: Sequence[str]) -> DataFram
     return out.select(*((F.floor(F.col("cell") / w) % domain[a]).cast("int").alias(a) for a, w in zip(attrs, domain.weights(attrs), strict=True)), "cell")
 
 
+def local(marginal: DataFrame, limit: int = 1_000_000) -> DataFrame:
+    """A marginal computed once and held by the plan itself, if it has few rows; else as it was."""
+    rows = marginal.limit(limit + 1).toArrow()
+    return marginal.sparkSession.createDataFrame(rows) if rows.num_rows <= limit else marginal
+
+
 def observed(df: DataFrame, attrs: Sequence[str]) -> DataFrame:
     """Counts of the combinations that occur: a partial count in each task, then one shuffle of those."""
     return df.groupBy(*attrs).agg(F.count("*").alias("count"))
@@ -82,9 +88,14 @@ def having(marginal: DataFrame, least: float, value: str = "count") -> DataFrame
     return marginal.where(F.col(value) >= least)
 
 
+def sorted_counts(marginal: DataFrame, value: str = "count") -> DataFrame:
+    """All of a marginal, largest counts first."""
+    return marginal.orderBy(F.col(value).desc(), *[c for c in marginal.columns if c != value])
+
+
 def dump(marginal: DataFrame, path: str, value: str = "count") -> None:
     """A marginal as one CSV, largest counts first."""
-    marginal.orderBy(F.col(value).desc(), *[c for c in marginal.columns if c != value]).coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    sorted_counts(marginal, value).coalesce(1).write.mode("overwrite").option("header", True).csv(path)
 
 
 def from_lists(spark: SparkSession, lists: dict[str, Sequence]) -> DataFrame:

@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabveil.domain import Domain
-from tabveil.operators.marginals import dense
-from tabveil.operators.quota import ordered
+from tabveil.operators.marginals import dense, local
+from tabveil.operators.quota import fill, ordered
 
 FIXED = {"U8": 1.0, "U9": 0.2, "U10": 0.3, "U11": 0.5, "U12": 0.1}
 #: Share of complete copies in even and odd rounds.
@@ -75,15 +75,19 @@ def step(rows: DataFrame, target: DataFrame, domain: Domain, attrs: Sequence[str
     Of an under cell's donors a share `complete` becomes copies of its rows, the others only take its attributes.
     """
     attrs = list(attrs)
-    cells = reduced(sets(rows, target, domain, attrs, alpha)).persist()
+    cells = local(reduced(sets(rows, target, domain, attrs, alpha)))
     given = donors(rows, cells, attrs, key)
     copies = F.when(F.col("kind") == "under", F.rint(complete * F.col("num_add"))).otherwise(0).cast("long")
     w = Window.orderBy(F.col("kind") != "zero", "cell").rowsBetween(Window.unboundedPreceding, -1)
     cuts = cells.where("num_add > 0").withColumn("first", F.coalesce(F.sum("num_add").over(w), F.lit(0))).select(*(F.col(a).alias(f"__{a}") for a in attrs), "first", (F.col("first") + F.col("num_add")).alias("last"), copies.alias("copies"))
-    moved = given.join(F.broadcast(cuts), (F.col("slot") >= F.col("first")) & (F.col("slot") < F.col("last")))
-    moved = moved.withColumn("source", F.when(F.col("slot") - F.col("first") < F.col("copies"), F.col("slot") - F.col("first")))
-    sources = ordered(rows, key, attrs, "source").drop("row_id")
+    cuts = cuts.withColumn("since", F.col("first"))
+    moved = fill(given, cuts, [*(f"__{a}" for a in attrs), "since", "copies"], "slot")
+    moved = moved.withColumn("source", F.when(F.col("slot") - F.col("since") < F.col("copies"), F.col("slot") - F.col("since")))
     others = [c for c in rows.columns if c not in attrs and c != "row_id"]
+    if not complete or not others:  # a copy of nothing but the attributes themselves
+        out = rows.join(moved.select("row_id", *(f"__{a}" for a in attrs), F.lit(True).alias("__moved")), "row_id", "left")
+        return out.select(*(F.when(F.col("__moved"), F.col(f"__{c}")).otherwise(F.col(c)).alias(c) if c in attrs else F.col(c) for c in rows.columns))
+    sources = ordered(rows, key, attrs, "source").drop("row_id")
     sources = sources.select(*(F.col(a).alias(f"__{a}") for a in attrs), "source", *(F.col(c).alias(f"__{c}") for c in others), F.lit(True).alias("__copied"))
     moved = moved.select("row_id", "source", *(f"__{a}" for a in attrs)).join(sources, [*(f"__{a}" for a in attrs), "source"], "left").drop("source").withColumn("__moved", F.lit(True))
     out = rows.join(moved, "row_id", "left")

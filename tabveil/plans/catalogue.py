@@ -45,12 +45,8 @@ LINE = {"rf": "l_returnflag", "ls": "l_linestatus", "ln": "l_linenumber", "q": "
 def encoded(spark: SparkSession, d: str, table: str, columns: dict[str, str], extra: tuple[str, ...] = ()) -> tuple[DataFrame, Domain]:
     """Label codes under short names, and their domain."""
     df = t(spark, d, table).select(*columns.values(), *extra)
-    sizes = {}
-    for a, c in columns.items():
-        df = codec.label(df, c, to=a)
-        sizes[a] = c
-    got = df.agg(*(F.max(a).alias(a) for a in columns)).first()
-    return df.select(*columns, *extra), Domain.from_dict({a: got[a] + 1 for a in columns})
+    df, sizes = codec.labels(df, {a: F.col(c) for a, c in columns.items()})
+    return df.select(*columns, *extra), Domain.from_dict(sizes)
 
 
 def line(spark: SparkSession, d: str, *names: str, extra: tuple[str, ...] = ()) -> tuple[DataFrame, Domain]:
@@ -147,16 +143,16 @@ def exp_sql(v: str, base: int) -> str:
 
 @query(f"WITH b AS (SELECT event_id, ({exp_sql('value', 2)})::BIGINT AS bin FROM events) SELECT event_id, bin - (SELECT min(bin) FROM b) AS code FROM b")
 def enc_exp_float(spark, d):
-    df = t(spark, d, "events")
-    low = df.agg(F.min(binning.bin_exponential(F.col("value"))).alias("low"))
-    return df.crossJoin(F.broadcast(low)).select("event_id", (binning.bin_exponential(F.col("value")) - F.col("low")).alias("code"))
+    df = t(spark, d, "events").select("event_id", "value")
+    model = codec.fit(df, {"value": FieldSpec("float-exponential", 2)})
+    return model.encode(df, keep=["event_id"]).select("event_id", F.col("value").cast("long").alias("code"))
 
 
 @query(f"WITH b AS (SELECT o_orderkey, ({exp_sql('floor(o_totalprice)', 2)})::BIGINT AS bin FROM orders) SELECT o_orderkey, bin - (SELECT min(bin) FROM b) AS code FROM b")
 def enc_exp_int(spark, d):
-    df = t(spark, d, "orders").withColumn("v", F.floor("o_totalprice"))
-    low = df.agg(F.min(binning.bin_exponential(F.col("v"))).alias("low"))
-    return df.crossJoin(F.broadcast(low)).select("o_orderkey", (binning.bin_exponential(F.col("v")) - F.col("low")).alias("code"))
+    df = t(spark, d, "orders").select("o_orderkey", "o_totalprice")
+    model = codec.fit(df, {"o_totalprice": FieldSpec("int-exponential", 2)})
+    return model.encode(df, keep=["o_orderkey"]).select("o_orderkey", F.col("o_totalprice").cast("long").alias("code"))
 
 
 @query("""SELECT 'value' AS "column", count(value) AS n, min(value) AS low, max(value) AS high, round(avg(value), 6) AS mean FROM events
@@ -167,10 +163,9 @@ def bin_stats(spark, d):
 
 @query("SELECT o_orderkey, o_orderpriority AS raw FROM orders")
 def dec_label(spark, d):
-    df = t(spark, d, "orders")
-    codes = codec.label(df, "o_orderpriority", to="code")
-    back = codec.dictionary(df, F.col("o_orderpriority"))
-    return codes.join(F.broadcast(back), "code", "left").select("o_orderkey", "raw")
+    df = t(spark, d, "orders").select("o_orderkey", "o_orderpriority")
+    model = codec.fit(df, {"o_orderpriority": FieldSpec("categorical")})
+    return model.decode(model.encode(df, keep=["o_orderkey"])).select("o_orderkey", F.col("o_orderpriority").alias("raw"))
 
 
 @query("""WITH ip AS (SELECT 'ip' AS kind, l_suppkey AS raw, (l_suppkey >> 2) << 2 AS low FROM lineitem),
@@ -250,10 +245,10 @@ def marg_having(spark, d):
     return marginals.having(marginals.observed(t(spark, d, "events"), ["user_id"]), 60).withColumnRenamed("count", "n")
 
 
-@query("SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL ORDER BY n DESC, user_id, event_type LIMIT 50")
+@query("SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL ORDER BY n DESC, user_id, event_type")
 def marg_top_dump(spark, d):
     m = marginals.observed(t(spark, d, "events"), ["user_id", "event_type"])
-    return m.orderBy(F.col("count").desc(), "user_id", "event_type").limit(50).withColumnRenamed("count", "n")
+    return marginals.sorted_counts(m).withColumnRenamed("count", "n")
 
 
 @query(f"WITH {LI} SELECT rf, ls, ln, q, count(*) AS n FROM li GROUP BY ALL")
@@ -510,10 +505,10 @@ def quota_marginal(spark, d):
     return _line_cast(quota.fill(rows, quota.boundaries(noisy(spark, d, 30.0)[1], QN, ["p", "cell"]), ["s", "p"]), ["s", "p"])
 
 
-@query(f"WITH {noisy_sql('30e0')}, h AS (SELECT s, count(*) AS n FROM ord WHERE row_id % 3 = 0 GROUP BY s), t AS (SELECT s, sum(count) AS t FROM noisy GROUP BY s) SELECT s, p, round(count * coalesce(h.n, 0) / t, 6) AS count FROM noisy JOIN t USING (s) LEFT JOIN h USING (s)")
+@query(f"WITH {noisy_sql('30e0')}, h AS (SELECT s, count(*) AS n FROM ord GROUP BY s), t AS (SELECT s, sum(count) AS t FROM noisy GROUP BY s) SELECT s, p, round(count * coalesce(h.n, 0) / t, 6) AS count FROM noisy JOIN t USING (s) LEFT JOIN h USING (s)")
 def quota_conditional(spark, d):
     df, m, _ = noisy(spark, d, 30.0)
-    return _line_cast(quota.conditional(m, df.where("row_id % 3 = 0"), ["s"]).select("s", "p", r("count", 6).alias("count")), ["s", "p"])
+    return _line_cast(quota.conditional(m, df, ["s"]).select("s", "p", r("count", 6).alias("count")), ["s", "p"])
 
 
 @query(f"WITH {LI} SELECT round(corr(q, dc), 9) AS corr FROM li")
@@ -522,13 +517,26 @@ def rank_corr(spark, d):
     return marginals.observed(df, ["q", "dc"]).agg(r(quota.weighted_corr("q", "dc")).alias("corr"))
 
 
-@query(f"""WITH {ORD}, m AS (SELECT s, p, count(*)::DOUBLE AS count FROM ord WHERE row_id % 2 = 0 GROUP BY ALL), a AS (SELECT s, row_id, row_number() OVER (PARTITION BY s ORDER BY row_id) - 1 AS place, count(*) OVER (PARTITION BY s) AS n FROM ord),
-u AS (SELECT s, p, round(sum(count) OVER (PARTITION BY s ORDER BY p) / sum(count) OVER (PARTITION BY s), 12) AS share FROM m), c AS (SELECT s, p, share, lag(share, 1, 0) OVER (PARTITION BY s ORDER BY p) AS before FROM u)
+@query(f"""WITH {noisy_sql('30e0')}, {CUT}, a AS (SELECT s, row_id, row_number() OVER (PARTITION BY s ORDER BY row_id) - 1 AS place, count(*) OVER (PARTITION BY s) AS n FROM ord),
+u AS (SELECT s, p, round(CASE WHEN sum(count) OVER (PARTITION BY s) <> 0 THEN sum(count) OVER (PARTITION BY s ORDER BY p) / sum(count) OVER (PARTITION BY s) ELSE row_number() OVER (PARTITION BY s ORDER BY p) / count(*) OVER (PARTITION BY s)::DOUBLE END, 12) AS share FROM cut), c AS (SELECT s, p, share, lag(share, 1, 0) OVER (PARTITION BY s ORDER BY p) AS before FROM u)
 SELECT row_id, a.s, p FROM a JOIN c ON a.s = c.s AND place >= round_even(before * n, 0) AND place < round_even(share * n, 0)""")
 def append_attr(spark, d):
-    df, dom = orders(spark, d)
-    m = marginals.dense(df.where("row_id % 2 = 0"), dom, ["s", "p"]).drop("cell")
-    return _line_cast(quota.append(df.select("row_id", "s"), m, "s", "p", F.col("row_id")), ["s", "p"])
+    df, m, dom = noisy(spark, d, 30.0)
+    return _line_cast(quota.append(df.select("row_id", "s"), nonneg.norm_cut(m).drop("cell"), "s", "p", F.col("row_id")), ["s", "p"])
+
+
+_QUOTAS = " UNION ALL ".join(f"SELECT '{x}' AS attr, {x} AS code, n, true AS independent FROM (SELECT {x}, round_even(round(sum(c) OVER (ORDER BY {x}) / sum(c) OVER (), 12) * {QN}, 0)::BIGINT - round_even(round((sum(c) OVER (ORDER BY {x}) - c) / sum(c) OVER (), 12) * {QN}, 0)::BIGINT AS n FROM (SELECT {x}, sum(count) AS c FROM cut GROUP BY {x})) WHERE n > 0" for x in "sp")
+
+
+@query(f"WITH {noisy_sql('30e0')}, {CUT} {_QUOTAS}")
+def start_singletons(spark, d):
+    m = nonneg.norm_cut(noisy(spark, d, 30.0)[1])
+    rows = quota.permuted(spark.range(QN).select(F.col("id").alias("row_id")), "row_id", QN, {f"__at_{x}": f"3|{x}" for x in "sp"})
+    for x in "sp":
+        rows = quota.fill(rows, quota.boundaries(marginals.roll_up(m, [x]), QN, [x]), [x], f"__at_{x}")
+    apart = F.broadcast(rows.agg((F.abs(F.corr("s", "p")) < 0.03).alias("independent")))
+    held = marginals.count_sets(rows, [("s",), ("p",)])
+    return held.crossJoin(apart).select(F.col("view").alias("attr"), F.coalesce("s", "p").cast("long").alias("code"), F.col("count").alias("n"), "independent")
 
 
 # ---- update
@@ -538,15 +546,15 @@ _ALPHA = 0.8
 
 
 def _update(spark, d):
-    """Rows to move: every order, with the shares of the later half as the target."""
-    df, dom = orders(spark, d)
-    rows = df.withColumn("s", F.when(F.col("row_id") % 4 == 0, 0).otherwise(F.col("s")))
-    target = marginals.normalize(marginals.dense(df.where("row_id % 2 = 1"), dom, ["s", "p"]))
-    return rows.select("row_id", "s", "p"), target, dom
+    """Rows to move: every order, with another status for each fourth; the target has the shares of the noisy marginal of all orders."""
+    df, m, dom = noisy(spark, d, 30.0)
+    rows = df.withColumn("s", F.when(F.col("row_id") % 4 == 0, 0).otherwise(F.col("s"))).withColumn("tag", F.col("row_id") * 7 + 1)
+    target = marginals.normalize(nonneg.norm_cut(m))
+    return rows.select("row_id", "s", "p", "tag"), target, dom
 
 
-UPD = f"""{MARG}, rws AS (SELECT row_id, CASE WHEN row_id % 4 = 0 THEN 0 ELSE s END AS s, p FROM ord), nn AS (SELECT count(*)::DOUBLE AS n FROM rws),
-tgt AS (SELECT s, p, count(*)::DOUBLE / (SELECT count(*) FROM ord WHERE row_id % 2 = 1) AS a FROM ord WHERE row_id % 2 = 1 GROUP BY ALL),
+UPD = f"""{noisy_sql('30e0')}, {CUT}, rws AS (SELECT row_id, CASE WHEN row_id % 4 = 0 THEN 0 ELSE s END AS s, p, row_id * 7 + 1 AS tag FROM ord), nn AS (SELECT count(*)::DOUBLE AS n FROM rws),
+tgt AS (SELECT s, p, count / (SELECT sum(count) FROM cut) AS a FROM cut),
 hv AS (SELECT s, p, count(*)::DOUBLE AS h FROM rws GROUP BY ALL),
 st AS (SELECT m.s, m.p, m.cell, coalesce(h, 0) / n AS sh, coalesce(a, 0) AS a, n FROM marg m LEFT JOIN hv USING (s, p) LEFT JOIN tgt USING (s, p), nn),
 sets AS (SELECT *, CASE WHEN sh = 0 AND a > 0 THEN 'zero' WHEN sh < a THEN 'under' WHEN sh > a THEN 'over' ELSE 'even' END AS kind,
@@ -580,10 +588,12 @@ def update_donors(spark, d):
     return update.donors(rows, cells, ["s", "p"], F.col("row_id"))
 
 
-@query(f"WITH {UPD} SELECT rws.row_id, coalesce(m.s, rws.s) AS s, coalesce(m.p, rws.p) AS p FROM rws LEFT JOIN (SELECT row_id, cuts.s, cuts.p FROM don JOIN cuts ON slot >= first AND slot < first + num_add) m USING (row_id)")
+@query(f"""WITH {UPD}, src AS (SELECT s, p, tag, row_number() OVER (PARTITION BY s, p ORDER BY row_id) - 1 AS i FROM rws),
+mv AS (SELECT row_id, c.s, c.p, CASE WHEN slot - first < round_even(0.5e0 * CASE WHEN kind = 'under' THEN c.num_add ELSE 0 END, 0) THEN slot - first END AS i FROM don JOIN cuts c ON slot >= first AND slot < first + num_add JOIN red USING (s, p))
+SELECT rws.row_id, coalesce(m.s, rws.s) AS s, coalesce(m.p, rws.p) AS p, coalesce(src.tag, rws.tag) AS tag FROM rws LEFT JOIN mv m USING (row_id) LEFT JOIN src ON src.s = m.s AND src.p = m.p AND src.i = m.i""")
 def update_step(spark, d):
     rows, target, dom = _update(spark, d)
-    return _line_cast(update.step(rows, target, dom, ["s", "p"], _ALPHA, 0.0, F.col("row_id")), ["s", "p"])
+    return _line_cast(update.step(rows, target, dom, ["s", "p"], _ALPHA, 0.5, F.col("row_id")), ["s", "p"])
 
 
 # ---- metrics

@@ -8,6 +8,8 @@ from dataclasses import dataclass, field
 from itertools import combinations
 from math import pi, sqrt
 
+import numpy as np
+
 from tabveil.domain import Domain
 
 Marginal = tuple[str, ...]
@@ -165,6 +167,16 @@ def cover(marginals: Sequence[Marginal], target: str) -> list[Marginal]:
     return out
 
 
+def mean_correlation(x: np.ndarray, shape: Sequence[int], place: int) -> float:
+    """The mean of Pearson's correlations of the other attributes' codes with that at `place`, each cell weighted by its share; 0 without one."""
+    codes = [c.ravel() for c in np.indices(tuple(shape))]
+    w = x / x.sum() if x.sum() > 0 else np.full(len(x), 1 / len(x))
+    centred = [c - (w * c).sum() for c in codes]
+    size = [np.sqrt((w * c * c).sum()) for c in centred]
+    found = [(w * c * centred[place]).sum() / (s * size[place]) for k, (c, s) in enumerate(zip(centred, size, strict=True)) if k != place and s > 0 and size[place] > 0]
+    return float(np.mean(found)) if found else 0.0
+
+
 def rank(marginals: Sequence[Marginal], correlation: dict[Marginal, float]) -> list[Marginal]:
     """Fewer attributes first, then the higher correlation with the target attribute."""
     return sorted(marginals, key=lambda m: (len(m), -correlation[m]))

@@ -191,3 +191,44 @@ def test_streaming(spark, sf_dir):
     assert {tuple(r) for r in spark.table("m").collect()} == {tuple(r) for r in rows.groupBy("event_type").count().collect()}
     want = sketches.build(rows, "user_id", 3, 50)
     assert {tuple(r) for r in spark.table("k").collect()} == {tuple(r) for r in want.collect()}
+
+
+@pytest.mark.parametrize("n", [1, 2, 7, 101, 60_000, 600_000])
+def test_permutations_of_places_are_independent(spark, n):
+    from tabveil.operators import quota
+
+    names = list("abcdef")
+    got = quota.permuted(spark.range(n), "id", n, {c: f"0|{c}" for c in names})
+    checks = [F.count_distinct(c) for c in names] + [F.min(c) for c in names] + [F.max(c) for c in names]
+    assert list(got.agg(*checks).first()) == [n] * 6 + [0] * 6 + [n - 1] * 6
+    if n >= 60_000:
+        pairs = [F.corr(a, b) for k, a in enumerate(["id", *names]) for b in ["id", *names][k + 1 :]]
+        assert max(map(abs, got.agg(*pairs).first())) < 0.02
+
+
+def test_places_in_buckets_are_those_of_one_window(spark):
+    from tabveil.operators import quota
+
+    df = spark.range(3000).select(F.col("id"), (F.col("id") % 7 == 0).cast("int").alias("g"), F.xxhash64("id").alias("h"))
+    one = {(r["id"], r["place"]) for r in quota.ordered(df, F.col("h"), ["g"]).collect()}
+    assert {(r["id"], r["place"]) for r in quota.ordered(df, F.col("h"), ["g"], at_once=100).collect()} == one
+    pairs = quota.ordered(df, F.struct("id", "h"), ["g"], spread=F.col("id"), at_once=50)
+    assert {(r["id"], r["place"]) for r in pairs.collect()} == {(r["id"], r["place"]) for r in quota.ordered(df, F.col("id"), ["g"]).collect()}
+
+
+def test_dictionaries_beyond_the_driver(spark, monkeypatch):
+    df = spark.createDataFrame([(x, y) for x, y in zip(["b", None, "a", "c", "b"], [3, 1, 2, 2, None], strict=True)], "x string, y int")
+    want = {("b", 1, 3), (None, None, 1), ("a", 0, 2), ("c", 2, 2), ("b", 1, None)}
+    for values, literals in ((100_000, 64), (100_000, 0), (2, 64)):
+        monkeypatch.setattr(codec, "LOCAL_VALUES", values)
+        monkeypatch.setattr(codec, "LITERALS", literals)
+        out, sizes = codec.labels(df, {"code": F.col("x")})
+        assert sizes == {"code": 3} and {tuple(r) for r in out.select("x", "code", "y").collect()} == want
+
+
+def test_unknown_codes_are_an_error(spark):
+    from tabveil.operators import recode
+
+    mapping = spark.createDataFrame([(0, 0, False)], "old_code int, new_code int, is_group boolean")
+    with pytest.raises(Exception, match="lacks"):
+        recode.recode(spark.createDataFrame([(0,), (5,)], "a int"), "a", mapping).collect()
