@@ -96,20 +96,21 @@ def step(rows: DataFrame, target: DataFrame, domain: Domain, attrs: Sequence[str
 
 
 class Shard:
-    """Rounds over all marginals on one shard's records: the same step on arrays."""
+    """Rounds over all marginals on one shard's records: the same step on arrays, a row of `x` for each attribute."""
 
     def __init__(self, records: np.ndarray, weights: dict[tuple, np.ndarray], axes: dict[tuple, list[int]], shapes: dict[tuple, tuple[int, ...]], targets: dict[tuple, np.ndarray], seed: int) -> None:
-        self.x, self.weights, self.axes, self.shapes, self.targets = records, weights, axes, shapes, targets
+        self.x, self.weights, self.axes, self.shapes, self.targets = np.ascontiguousarray(records.T, np.int32), weights, axes, shapes, targets
         self.rng = np.random.default_rng(seed)
 
     def cells(self, v: tuple) -> np.ndarray:
-        return self.x[:, self.axes[v]] @ self.weights[v]
+        kind = np.uint16 if len(self.targets[v]) <= 1 << 16 else np.int64  # short numbers are sorted by radix
+        return sum(self.x[k] * np.int64(w) for k, w in zip(self.axes[v], self.weights[v], strict=True)).astype(kind)
 
     def l1(self, v: tuple) -> float:
-        return float(np.abs(np.bincount(self.cells(v), minlength=len(self.targets[v])) / len(self.x) - self.targets[v]).sum())
+        return float(np.abs(np.bincount(self.cells(v), minlength=len(self.targets[v])) / self.x.shape[1] - self.targets[v]).sum())
 
     def one(self, v: tuple, alpha: float, complete: float) -> None:
-        n, a = len(self.x), self.targets[v]
+        n, a = self.x.shape[1], self.targets[v]
         cell = self.cells(v)
         s = np.bincount(cell, minlength=len(a)) / n
         add = np.zeros(len(a))
@@ -130,20 +131,21 @@ class Shard:
         # rows in random order, grouped by cell
         order = self.rng.permutation(n)
         order = order[np.argsort(cell[order], kind="stable")]
-        first = np.searchsorted(cell[order], np.arange(len(a) + 1))
-        place = np.arange(n) - first[cell[order]]
-        free = self.rng.permutation(order[place < reduce[cell[order]]])
-        at = 0
-        codes = self.axes[v]
-        todo = [(c, 0) for c in np.flatnonzero(zero)] + [(c, int(np.rint(complete * add[c]))) for c in np.flatnonzero(under)]
-        for c, copies in todo:
-            took = free[at : at + int(add[c])]
-            at += len(took)
-            if not len(took):
-                continue
-            copies = min(copies, len(took), first[c + 1] - first[c])
-            self.x[took[:copies]] = self.x[order[first[c] : first[c] + copies]]
-            self.x[np.ix_(took[copies:], codes)] = np.array(np.unravel_index(c, self.shapes[v]))
+        size = np.bincount(cell, minlength=len(a))
+        first = np.cumsum(size) - size
+        grouped = cell[order]
+        free = self.rng.permutation(order[np.arange(n) - first[grouped] < reduce[grouped]])
+        # zero cells take donors first, then those that are under; an under cell's first ones become copies of its rows
+        todo = np.concatenate([np.flatnonzero(zero), np.flatnonzero(under)])
+        times = add[todo].astype(int)
+        to = np.repeat(todo, times)[: len(free)]
+        turn = (np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times))[: len(free)]
+        free = free[: len(to)]
+        copies = np.where(under, np.minimum(np.rint(complete * add), size), 0)
+        whole = turn < copies[to]
+        self.x[:, free[whole]] = self.x[:, order[first[to[whole]] + turn[whole]]]
+        for k, codes in zip(self.axes[v], np.unravel_index(to[~whole], self.shapes[v]), strict=True):
+            self.x[k, free[~whole]] = codes
 
     def run(self, rounds: int, method: str, first: float, policy: str) -> None:
         for i in range(rounds):
@@ -166,7 +168,7 @@ def run_shards(rows: DataFrame, domain: Domain, targets: dict[tuple, np.ndarray]
         pdf = pdf.sort_values("row_id", kind="stable")
         shard = Shard(pdf[attrs].to_numpy(np.int64), weights, axes, shapes, targets, seed + int(pdf["shard"].iloc[0]))
         shard.run(rounds, method, first, policy)
-        pdf[attrs] = shard.x
+        pdf[attrs] = shard.x.T
         return pdf[["row_id", *attrs]]
 
     dealt = rows.select("row_id", *attrs, F.pmod(F.xxhash64("row_id"), F.lit(shards)).cast("int").alias("shard"))
