@@ -8,6 +8,8 @@ entry a batch, never one an occurrence. n-grams are told apart by 56-bit hashes,
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -20,33 +22,36 @@ WORD = r"[^\x20\x09-\x0D]++"
 KEEP = U64(8)  # bits of a hash that are dropped
 
 
-def batch_grams(column, order: int):
-    """Row of each word, and for each n the words' n-gram hashes (at the n-gram's last word) and those positions."""
+def slab_grams(column, order: int):
+    """Slab by slab: its first and last row, the row of each word, and for each n the hashes of n-grams and their last words' places."""
     data, offs = buffers(column)
-    rows, hashes = [], []
     for a, b in slabs(offs):
         part = LOWER[data[offs[a] : offs[b]]]
         start, end, row = words(part, offs[a : b + 1] - offs[a])
-        rows.append(row + a)
-        hashes.append(span_hash(prefix(part), start, end))
-    row = np.concatenate(rows) if rows else np.zeros(0, np.int64)
-    h = np.concatenate(hashes) if hashes else np.zeros(0, U64)
-    out = []
-    for n in range(1, order + 1):
-        g, at = grams(h, row, n)
-        out.append((mix(g + U64(n)) >> KEEP, at + n - 1))
-    return row, out
-
-
-def own_counts(row: np.ndarray, g: np.ndarray) -> np.ndarray:
-    """How often each n-gram stands in its own row."""
-    by = np.lexsort((g, row))
-    new = np.ones(len(by), bool)
-    new[1:] = (g[by][1:] != g[by][:-1]) | (row[by][1:] != row[by][:-1])
-    first = np.flatnonzero(new)
-    out = np.empty(len(by), np.int64)
-    out[by] = np.repeat(np.diff(np.append(first, len(by))), np.diff(np.append(first, len(by))))
-    return out
+        h = span_hash(prefix(part), start, end)
+        found = [grams(h, row, n) for n in range(1, order + 1)]
+        yield a, b, row, [(mix(g + U64(n)) >> KEEP, at + n - 1) for n, (g, at) in enumerate(found, 1)]
+
+
+def distinct_grams(column, order: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each n the distinct n-grams of a batch in their order, and their counts; one n at a time is held."""
+    found: list[list[np.ndarray]] = [[] for _ in range(order)]
+    for _, _, _, by_n in slab_grams(column, order):
+        for k, (g, _) in enumerate(by_n):
+            found[k].append(g)
+    for k in range(order):
+        part = found[k]
+        found[k] = []
+        g = np.concatenate(part) if part else np.zeros(0, U64)
+        del part
+        yield np.unique(g, return_counts=True)
+
+
+def counted(row: np.ndarray, g: np.ndarray, values: np.ndarray, told: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each n-gram what the table of (values, told) says, and how often it stands in its own row."""
+    u, place = np.unique(g, return_inverse=True)
+    _, back, own = np.unique(row * len(u) + place, return_inverse=True, return_counts=True)
+    return told[np.searchsorted(values, u)][place], own[back]
 
 
 def log_scores(counts: list[np.ndarray], inside: list[np.ndarray], n_words: np.ndarray, backoff: float) -> np.ndarray:
@@ -84,10 +89,8 @@ def score(docs: DataFrame, order: int = 3, backoff: float = 0.4, least: int = 1,
     step = U64((1 << (64 - int(KEEP))) // buckets + 1)
 
     def send(key, table):
-        _, by_n = batch_grams(table["text"], order)
         out = {"batch": [], "bucket": [], "n": [], "grams": [], "counts": []}
-        for n, (g, _) in enumerate(by_n, 1):
-            values, counts = np.unique(g, return_counts=True)
+        for n, (values, counts) in enumerate(distinct_grams(table["text"], order), 1):
             cut = np.searchsorted(values // step, np.arange(buckets + 1))
             for b in np.flatnonzero(np.diff(cut)):
                 v = values[cut[b] : cut[b + 1]]
@@ -105,30 +108,34 @@ def score(docs: DataFrame, order: int = 3, backoff: float = 0.4, least: int = 1,
         return pa.table({"batch": table["batch"], "bucket": table["bucket"], "n": table["n"], "totals": pa.array(blobs, pa.binary())})
 
     def finish(key, table, answers):
-        row, by_n = batch_grams(table["text"], order)
         blobs = {}
-        for n, b, blob in zip(answers["n"].to_pylist(), answers["bucket"].to_pylist(), answers["totals"].to_pylist(), strict=True):
+        for n, b, blob in zip(answers["n"].to_pylist(), answers["bucket"].to_pylist(), answers["totals"], strict=True):
             blobs.setdefault(n, {})[b] = blob
-        words_in = np.bincount(row, minlength=len(table)).astype(np.int64)
-        counts, rest, inside = [], [], []
-        for n, (g, at) in enumerate(by_n, 1):
-            c, own, has = np.zeros(len(row), np.int64), np.zeros(len(row), np.int64), np.zeros(len(row), bool)
-            if len(g):
-                _, place = np.unique(g, return_inverse=True)
-                told = np.concatenate([unpack_planes(blobs[n][b], np.uint64) for b in sorted(blobs[n])]).astype(np.int64)
-                c[at] = told[place]
-                own[at] = own_counts(row[at], g)
-                has[at] = True
-            floor = least if n > 1 else 1
-            counts.append(np.where(c >= floor, c, 0))
-            rest.append(np.where(c - own >= floor, c - own, 0))
-            inside.append(has)
-        columns = {"doc_id": table["doc_id"], "n_words": words_in}
-        for name, known, every in (("log_score", counts, np.full(len(row), n_words)), ("rest_score", rest, n_words - words_in[row])):
-            total = np.bincount(row, weights=log_scores(known, inside, every, backoff), minlength=len(table))
-            columns[name] = total
-            columns[name.replace("log_score", "per_word").replace("rest_score", "rest_per_word")] = pa.array(total / np.maximum(words_in, 1), mask=words_in == 0)
-        return pa.table(columns)
+        known = []
+        for n, (values, _) in enumerate(distinct_grams(table["text"], order), 1):
+            mine = blobs.pop(n, {})
+            told = [unpack_planes(mine[b].as_py(), np.uint64) for b in sorted(mine)]
+            known.append((values, np.concatenate(told).astype(np.int64) if told else np.zeros(0, np.int64)))
+        m = len(table)
+        n_words_in, totals = np.zeros(m, np.int64), {"log_score": np.zeros(m), "rest_score": np.zeros(m)}
+        for a, b, row, by_n in slab_grams(table["text"], order):
+            words_in = np.bincount(row, minlength=b - a).astype(np.int64)
+            counts, rest, inside = [], [], []
+            for n, (g, at) in enumerate(by_n, 1):
+                c, own, has = np.zeros(len(row), np.int64), np.zeros(len(row), np.int64), np.zeros(len(row), bool)
+                values, told = known[n - 1]
+                if len(g):
+                    c[at], own[at] = counted(row[at], g, values, told)
+                    has[at] = True
+                floor = least if n > 1 else 1
+                counts.append(np.where(c >= floor, c, 0))
+                rest.append(np.where(c - own >= floor, c - own, 0))
+                inside.append(has)
+            n_words_in[a:b] = words_in
+            for name, some, every in (("log_score", counts, np.full(len(row), n_words)), ("rest_score", rest, n_words - words_in[row])):
+                totals[name][a:b] = np.bincount(row, weights=log_scores(some, inside, every, backoff), minlength=b - a)
+        per = {name: pa.array(x / np.maximum(n_words_in, 1), mask=n_words_in == 0) for name, x in totals.items()}
+        return pa.table({"doc_id": table["doc_id"], "n_words": n_words_in, "log_score": totals["log_score"], "per_word": per["log_score"], "rest_score": totals["rest_score"], "rest_per_word": per["rest_score"]})
 
     sent = "batch long, bucket int, n int, grams binary, counts binary"
     back = "batch long, bucket int, n int, totals binary"
