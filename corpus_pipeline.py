@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tabveil.llm import classifier, decontaminate, jaccard, lines, mixing
-from tabveil.llm.blobs import scratch
+from tabveil.llm.blobs import Steps
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,8 +31,8 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All rows with size, source_size, target, taken and position, sorted by range of position."""
-    return mixing.mix(docs)
+    """Rows of which the mix takes words, with size, source_size, target, taken, position and positions, sorted by range of position."""
+    return mixing.mix(docs).where("taken > 0")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
@@ -48,11 +48,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages in their order over documents, each written as Parquet and read again."""
-    root = scratch(spark)
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
-        path = f"{root}/{k}-{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+    """The stages in their order over documents, each written as Parquet and read again; a stage's input goes when it is done."""
+    steps = Steps(spark)
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for _, stage in STAGES:
+        docs = steps.keep(stage(spark, docs, sf_dir))
+        if last is not None:
+            steps.drop(last)
+        last = docs
     return docs
