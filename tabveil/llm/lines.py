@@ -1,115 +1,232 @@
-"""Removal of lines that many documents share, with two Bloom filters before any shuffle.
+"""Removal of lines that many documents share, with two Bloom filters before lines are shuffled.
 
-A first pass fills two filters of bounded size: hashes seen once or more, and twice or more. Only lines whose
-hash the second one holds are shuffled, to count their documents exactly and to choose the one that keeps
-them. A full filter lets more lines through; the result stays exact.
+Documents form batches. A batch sends short hashes of its lines, packed, to the filters of their hash range; each range
+has two filters, of what was seen once or more and twice or more, sized by the hashes that come. Only lines whose hash the
+second one holds are shuffled, to count their documents exactly and to choose the one that keeps them. Ranges grow in
+number with the input, so filters go on filtering at any size; a false alarm only lets a line through to the exact count.
 """
 
 from __future__ import annotations
 
-import hashlib
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from tabveil.llm.blobs import bits_for, docs_of, filters, holds
+from tabveil.llm.blobs import docs_of, pack, pack_planes, unpack, unpack_planes
+from tabveil.llm.text import BASE, LOWER, U64, WHITE, buffers, mix, powers, prefix, slabs, span_hash
 
-BLANK = " \t\n\v\f\r"
-FOLD = str.maketrans({chr(k): chr(k + 32) for k in range(65, 91)})
+HASH = U64(16)  # bits of a line's hash that aren't sent
 PROBES = 3
+BITS = 16  # of a filter for each hash
+OTHER = 0xA24BAED4963EE407  # a second base for hashes
+
+
+class Lines(NamedTuple):
+    """All lines of a batch: row, first and last byte (exclusive); which are long, their keys' bytes and hashes."""
+
+    row: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+    long: np.ndarray
+    first: np.ndarray
+    last: np.ndarray
+    high: np.ndarray
+
+
+def lines_of(data: np.ndarray, offs: np.ndarray, least: int) -> Lines:
+    """Lines of each row, and the hashes of keys of `least` code points or more; every row has a line."""
+    rows = len(offs) - 1
+    breaks = np.flatnonzero(data == 10)
+    of = np.searchsorted(offs, breaks, "right") - 1
+    count = 1 + np.bincount(of, minlength=rows)
+    head = np.cumsum(count) - count  # each row's first line
+    row = np.repeat(np.arange(rows), count)
+    start, end = np.empty(len(row), np.int64), np.empty(len(row), np.int64)
+    begun = np.arange(len(breaks)) + of + 1  # the line that a break begins
+    start[head], start[begun] = offs[:-1], breaks + 1
+    end[head + count - 1], end[begun - 1] = offs[1:], breaks
+    # keys: from the first to the last byte that isn't blank; shorter lines than a key are left out at once
+    some = np.flatnonzero(end - start >= least)
+    solid = ~WHITE[data]
+    first, last = start[some], end[some]
+    for edge, step in ((first, 1), (last, -1)):
+        todo = np.arange(len(some))
+        while len(todo):
+            todo = todo[(first[todo] < last[todo])]
+            todo = todo[~solid[edge[todo] - (step < 0)]]
+            edge[todo] += step
+    points = np.zeros(len(data) + 1, np.int32 if len(data) < 1 << 31 else np.int64)
+    np.cumsum((data & 0xC0) != 0x80, out=points[1:])
+    use = points[last] - points[first] >= least
+    long, first, last = some[use], first[use], last[use]
+    high = np.zeros(len(long), U64)
+    for a, b in slabs(offs):
+        x, y = np.searchsorted(row[long], [a, b])
+        if x < y:
+            high[x:y] = span_hash(prefix(LOWER[data[offs[a] : offs[b]]]), first[x:y] - offs[a], last[x:y] - offs[a])
+    return Lines(row, start, end, long, first, last, high)
+
+
+def low_half(data: np.ndarray, lines: Lines, which: np.ndarray) -> np.ndarray:
+    """A second hash, with a base of its own, of the keys of some long lines."""
+    size = lines.last[which] - lines.first[which]
+    ends = np.cumsum(size)
+    part = LOWER[data[np.repeat(lines.first[which] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]]
+    start, out = ends - size, np.zeros(len(which), U64)
+    for a, b in slabs(np.concatenate([[0], ends])):
+        lo = start[a]
+        sums = np.zeros(ends[b - 1] - lo + 1, U64)
+        np.cumsum((part[lo : ends[b - 1]].astype(U64) + U64(7)) * powers(OTHER, len(sums) - 1), out=sums[1:])
+        out[a:b] = mix((sums[ends[a:b] - lo] - sums[start[a:b] - lo]) * powers(pow(OTHER, -1, 1 << 64), len(sums))[start[a:b] - lo] + size[a:b].astype(U64) * U64(BASE))
+    return out
 
 
-def keys_of(text: str | None, least: int) -> list[bytes | None]:
-    """A digest of each line's key, or None for keys of fewer than `least` code points."""
-    out: list[bytes | None] = []
-    for line in (text or "").split("\n"):
-        key = line.strip(BLANK)
-        out.append(hashlib.blake2b(key.translate(FOLD).encode("utf-8", "surrogatepass"), digest_size=16).digest() if len(key) >= least else None)
-    return out
+def per_document(lines: Lines, ids: np.ndarray) -> np.ndarray:
+    """Places among the long lines of the first of each document and hash."""
+    owner = ids[lines.row[lines.long]]
+    by = np.lexsort((lines.high, owner))
+    new = np.ones(len(by), bool)
+    new[1:] = (owner[by][1:] != owner[by][:-1]) | (lines.high[by][1:] != lines.high[by][:-1])
+    return np.sort(by[new])
 
 
-def probes(keys: list[bytes], bits: int) -> np.ndarray:
-    """Bit positions of each key."""
-    if not keys:
-        return np.zeros((0, PROBES), np.int64)
-    a, b = np.frombuffer(b"".join(keys), np.uint64).reshape(-1, 2).T
-    return np.stack([((a + np.uint64(k) * (b | np.uint64(1))) >> np.uint64(64 - bits)).astype(np.int64) for k in range(PROBES)], 1)
-
-
-def repeated(docs: DataFrame, least: int = 40, copies: int = 5) -> DataFrame:
-    """(doc_id, drop): the digests of the lines that each document loses. Documents that lose none are left out."""
-    spark = docs.sparkSession
-    docs = docs_of(docs, "doc_id", "text")
-    breaks = F.octet_length("text") - F.octet_length(F.replace(F.col("text"), F.lit("\n"), F.lit("")))
-    n = docs.select(F.sum(breaks + 1)).first()[0] or 0
-    bits = bits_for(n)
-
-    def at(batch):
-        # the filters count documents: a key stands once for each
-        return probes([k for t in batch["text"].to_pylist() for k in {k for k in keys_of(t, least) if k}], bits)
-
-    twice = spark.sparkContext.broadcast(filters(docs.select("text"), bits, at)[1])
-
-    def suspects(batches):
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 1000):
-                part = batch.slice(lo, 1000)
-                ids, keys = [], []
-                for i, t in zip(part["doc_id"].to_pylist(), part["text"].to_pylist(), strict=True):
-                    mine = list(dict.fromkeys(k for k in keys_of(t, least) if k))
-                    keys += mine
-                    ids += [i] * len(mine)
-                if keys:
-                    ok = np.flatnonzero(holds(twice.value, probes(keys, bits)).all(1))
-                    yield pa.RecordBatch.from_arrays([pa.array([ids[k] for k in ok], pa.int64()), pa.array([keys[k] for k in ok], pa.binary())], names=["doc_id", "key"])
-
-    lowest = F.lit(-(1 << 63)).cast("long")
-    held = docs.mapInArrow(suspects, "doc_id long, key binary").select(F.coalesce("doc_id", lowest).alias("doc_id"), "key").distinct()
-    common = held.groupBy("key").agg(F.count("*").alias("c"), F.max("doc_id").alias("keeper")).where(F.col("c") >= copies)
-    lose = held.join(common, "key").where("doc_id <> keeper")
-    return lose.groupBy("doc_id").agg(F.collect_list("key").alias("drop"))
-
-
-def dedup_lines(docs: DataFrame, least: int = 40, copies: int = 5, keep_columns: bool = False) -> DataFrame:
-    """Drop lines whose key at least `copies` documents hold, except in the largest doc_id that holds it.
+def ranges(total: int) -> U64:
+    """Hashes of one range, for so many ranges."""
+    return U64((1 << (64 - int(HASH))) // total + 1)
 
-    A key is a line without [\\x20\\x09-\\x0D] at both ends, A-Z lower-cased; keys under `least` code points always
-    stay. Returns doc_id, n_lines (before), n_dropped and text (what stays, joined by \\n), or with keep_columns the
-    input's columns with the new text. Null and empty texts are one empty line; with keep_columns a null text stays
-    null. A null doc_id counts as the smallest, and rows of one doc_id as one document. An empty table gives none.
-    """
-    lose = repeated(docs, least, copies).select(F.col("doc_id").alias("__tabveil_id"), F.col("drop").alias("__tabveil_drop"))
-    ids = F.coalesce(docs["doc_id"].cast("long"), F.lit(-(1 << 63)).cast("long"))
-    joined = docs.join(lose, ids == lose["__tabveil_id"], "left")
 
-    def cut(text: str | None, drop: set[bytes]) -> tuple[str, int, int]:
-        lines = (text or "").split("\n")
-        keep = [line for line, k in zip(lines, keys_of(text, least), strict=True) if k not in drop] if drop else lines
-        return "\n".join(keep), len(lines), len(lines) - len(keep)
+def ask(lines: Lines, ids: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct short hashes of a batch's long lines, their ranges' bounds, and which several of its documents have."""
+    u, times = np.unique(lines.high[per_document(lines, ids)] >> HASH, return_counts=True)
+    return u, np.searchsorted(u // ranges(buckets), np.arange(buckets + 1)), times > 1
 
-    def drops(batch) -> list[set[bytes]]:
-        return [set(x) if x else set() for x in batch["__tabveil_drop"].to_pylist()]
 
-    if keep_columns:
-        from pyspark.sql.types import StructType
+def places(h: np.ndarray, bits: int) -> np.ndarray:
+    """Bit positions of each hash."""
+    a = mix(h + U64(1))
+    b = mix(a) | U64(1)
+    return np.stack([((a + U64(k) * b) >> U64(64 - bits)).astype(np.int64) for k in range(PROBES)], 1)
+
 
-        schema = StructType(list(docs.schema))
-        spot = docs.columns.index("text")
+def tell(asked: list[bytes], flags: list[bytes]) -> list[bytes]:
+    """For each batch, which of its hashes in one range two documents or more may have: the two filters of the range."""
+    keys = [np.cumsum(unpack_planes(x, U64), dtype=U64) for x in asked]
+    own = [np.unpackbits(np.frombuffer(unpack(f), np.uint8), count=len(k)) > 0 for f, k in zip(flags, keys, strict=True)]
+    bits = max(10, int(BITS * sum(map(len, keys))).bit_length())
+    once, twice = np.zeros(1 << bits, bool), np.zeros(1 << bits, bool)
+    for k, o in zip(keys, own, strict=True):
+        at = places(k, bits)
+        again = once[at].all(1) | o
+        twice[at[again].ravel()] = True
+        once[at.ravel()] = True
+    return [pack(np.packbits(twice[places(k, bits)].all(1)).tobytes()) for k in keys]
 
-        def replace(batches):
-            for batch in batches:
-                texts = [cut(t, d)[0] if d else t for t, d in zip(batch["text"].to_pylist(), drops(batch), strict=True)]
-                columns = [batch.column(k) for k in range(len(schema))]
-                columns[spot] = pa.array(texts, pa.string())
-                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-        return joined.drop("__tabveil_id").mapInArrow(replace, schema)
+ASK = "batch long, bucket int, blob binary, flags binary"
+TOLD = "batch long, bucket int, blob binary"
 
-    def report(batches):
-        for batch in batches:
-            rows = [cut(t, d) for t, d in zip(batch["text"].to_pylist(), drops(batch), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[0] for r in rows], pa.string())], names=["doc_id", "n_lines", "n_dropped", "text"])
 
-    return joined.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"), "__tabveil_drop").mapInArrow(report, "doc_id long, n_lines long, n_dropped long, text string")
+def dedup_lines(docs: DataFrame, least: int = 40, copies: int = 5, keep_columns: bool = False, batch_mb: float = 16, bucket_mb: float = 64) -> DataFrame:
+    """Drop lines whose key at least `copies` documents hold, except in the largest doc_id that holds it.
+
+    A key is a line without [\\x20\\x09-\\x0D] at both ends, A-Z lower-cased; keys under `least` code points always
+    stay. Returns doc_id, n_lines (before), n_dropped and text (what stays, joined by \\n), or with keep_columns the
+    input's columns with the new text. Null and empty texts are one empty line; with keep_columns a null text stays
+    null. A null doc_id counts as the smallest, and rows of one doc_id as one document. Keys are told apart by 128-bit
+    hashes. An empty table gives none.
+
+    Texts are shuffled once, by batch; lines that only one document holds, but for false alarms, never are.
+    """
+    if copies < 2:
+        raise ValueError("copies must be 2 or more")
+    lowest = -(1 << 63)
+    total = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
+    batches, buckets = int(total // (batch_mb * (1 << 20))) + 1, int(total // (bucket_mb * (1 << 20))) + 1
+    names = ("__tabveil_id", "__tabveil_text", "__tabveil_batch")
+    text = F.col("text").cast("string")
+    given = docs if keep_columns else docs_of(docs, "doc_id", "text")
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(lowest).cast("long"))
+    dealt = given.withColumns({names[0]: key, names[2]: F.pmod(F.xxhash64(key, F.xxhash64(text)), F.lit(batches))})
+    if keep_columns:
+        dealt = dealt.withColumn(names[1], text).drop("text") if dict(docs.dtypes)["text"] != "string" else dealt.withColumnRenamed("text", names[1])
+    else:
+        dealt = dealt.select(names[0], F.col("doc_id"), F.col("text").alias(names[1]), names[2])
+
+    def opened(table):
+        data, offs = buffers(table[names[1]])
+        return data, offs, lines_of(data, offs, least), table[names[0]].to_numpy()
+
+    def first(batch, table):
+        _, _, lines, ids = opened(table)
+        u, cuts, several = ask(lines, ids, buckets)
+        some = np.flatnonzero(np.diff(cuts))
+        part = [slice(cuts[b], cuts[b + 1]) for b in some]
+        return pa.table({"batch": pa.array([batch[0].as_py()] * len(some), pa.int64()), "bucket": pa.array(some, pa.int32()), "blob": pa.array([pack_planes(np.diff(u[p], prepend=U64(0))) for p in part], pa.binary()), "flags": pa.array([pack(np.packbits(several[p]).tobytes()) for p in part], pa.binary())})
+
+    def second(bucket, table):
+        return pa.table({"batch": table["batch"], "bucket": table["bucket"], "blob": pa.array(tell(table["blob"].to_pylist(), table["flags"].to_pylist()), pa.binary())})
+
+    def suspects(batch, table, told):
+        data, _, lines, ids = opened(table)
+        u, cuts, _ = ask(lines, ids, buckets)
+        masks = dict(zip(told["bucket"].to_pylist(), told["blob"].to_pylist(), strict=True))
+        parts = [np.unpackbits(np.frombuffer(unpack(masks[b]), np.uint8), count=cuts[b + 1] - cuts[b]) for b in np.flatnonzero(np.diff(cuts))]
+        flagged = u[np.concatenate(parts) > 0] if parts else u
+        one = np.flatnonzero(np.isin(lines.high >> HASH, flagged))
+        found = np.unique(whole(np.stack([ids[lines.row[lines.long[one]]], lines.high[one].view(np.int64), low_half(data, lines, one).view(np.int64)], 1)))
+        found = found.view(np.int64).reshape(-1, 3)
+        return pa.table({"batch": pa.array([batch[0].as_py()] * len(found), pa.int64()), "id": found[:, 0], "high": found[:, 1], "low": found[:, 2]})
+
+    by_batch = dealt.groupBy(names[2])
+    told = by_batch.applyInArrow(first, ASK).groupBy("bucket").applyInArrow(second, TOLD)
+    held = by_batch.cogroup(told.groupBy("batch")).applyInArrow(suspects, "batch long, id long, high long, low long")
+    # rows of one doc_id may lie in several batches
+    common = held.select("high", "low", "id").distinct().groupBy("high", "low").agg(F.count("*").alias("c"), F.max("id").alias("keeper")).where(F.col("c") >= copies)
+    lose = held.join(common, ["high", "low"]).where("id <> keeper").select("batch", "id", "high", "low")
+    schema = StructType(list(docs.schema)) if keep_columns else None
+    order = [c if c != "text" else names[1] for c in docs.columns]
+
+    def finish(batch, table, drop):
+        data, offs, lines, ids = opened(table)
+        gone = np.zeros(len(lines.row), bool)
+        wanted = np.unique(np.stack([drop[c].to_numpy() for c in ("id", "high", "low")], 1), axis=0)
+        if len(wanted):
+            near = np.flatnonzero(np.isin(lines.high.view(np.int64), wanted[:, 1]))
+            mine = np.stack([ids[lines.row[lines.long[near]]], lines.high[near].view(np.int64), low_half(data, lines, near).view(np.int64)], 1)
+            gone[lines.long[near]] = np.isin(whole(mine), whole(wanted))
+        n_lines = np.bincount(lines.row, minlength=len(ids))
+        n_dropped = np.bincount(lines.row, weights=gone, minlength=len(ids)).astype(np.int64)
+        texts = without(data, offs, lines, gone)
+        if keep_columns:
+            null = pa.array(np.asarray(table[names[1]].is_null()))
+            texts = pa.array(texts.to_pylist(), pa.string(), mask=np.asarray(null)) if table[names[1]].null_count else texts
+            return pa.table([texts if c == names[1] else table[c] for c in order], names=list(docs_names))
+        return pa.table({"doc_id": table["doc_id"], "n_lines": n_lines.astype(np.int64), "n_dropped": n_dropped, "text": texts})
+
+    docs_names = tuple(docs.columns)
+    return by_batch.cogroup(lose.groupBy("batch")).applyInArrow(finish, schema if keep_columns else "doc_id long, n_lines long, n_dropped long, text string")
+
+
+def whole(rows: np.ndarray) -> np.ndarray:
+    """Rows of numbers as single values that can be compared."""
+    return np.ascontiguousarray(rows).view([("", rows.dtype)] * rows.shape[1]).ravel()
+
+
+def without(data: np.ndarray, offs: np.ndarray, lines: Lines, gone: np.ndarray) -> pa.Array:
+    """Each row's lines that stay, joined by line breaks."""
+    keep = ~gone
+    change = np.zeros(len(data) + 1, np.int64)
+    # a line goes with the break before it; the first line that stays in a row comes without one
+    stays = np.flatnonzero(keep)
+    first = np.ones(len(stays), bool)
+    first[1:] = lines.row[stays[1:]] != lines.row[stays[:-1]]
+    lead = lines.start[stays] - ~first
+    np.add.at(change, lead, 1)
+    np.add.at(change, lines.end[stays], -1)
+    mask = np.cumsum(change[:-1]) > 0
+    sizes = np.concatenate([[0], np.cumsum(mask)])[offs]
+    return pa.LargeStringArray.from_buffers(len(offs) - 1, pa.py_buffer(sizes.astype(np.int64).tobytes()), pa.py_buffer(data[mask].tobytes())).cast(pa.string())

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tabveil.llm import classifier, decontaminate, jaccard, lines, lm, mixing, quality, queries, secrets, suffix, tokens
+from tabveil.llm.blobs import pack, pack_planes, unpack
 from tests.llm import brute
 
 LINE = "A line that stands in many of the documents, word for word."
@@ -98,6 +99,10 @@ class TestAgainstBrute:
         got = lines.dedup_lines(df).withColumn("h", F.sha2(F.col("text").cast("binary"), 256))
         assert by_id(got, "n_lines", "n_dropped", "h") == brute.lines(pairs(df))
 
+    def test_lines_in_many_batches(self, df):
+        got = lines.dedup_lines(df, least=10, copies=3, batch_mb=0.01, bucket_mb=0.01).withColumn("h", F.sha2(F.col("text").cast("binary"), 256))
+        assert by_id(got, "n_lines", "n_dropped", "h") == brute.lines(pairs(df), 10, 3)
+
     def test_lm(self, df):
         want = brute.backoff(pairs(df))
         some = lm.score(df, batch_mb=0.02, bucket_grams=2000).collect()
@@ -268,6 +273,66 @@ def test_positions_of_all_copies(spark):
     assert first == sorted(first, key=lambda p: (p is not None, p))
 
 
+def test_suffix_batches_one_by_one(spark, small):
+    rows = sorted(pairs(small.where("doc_id < 120")), key=lambda r: r[0])
+    rows[7] = (rows[7][0], None)
+    index = suffix.Index(spark, buckets=3)
+    got = {}
+    for lo, hi in ((0, 30), (30, 31), (31, 70), (70, 90), (90, 120)):
+        part = spark.createDataFrame(rows[lo:hi], "doc_id long, text string")
+        got |= by_id(index.add(part, batch_mb=0.01).withColumn("h", F.sha2("kept", 256)), "n_bytes", "n_removed", "n_spans", "h")
+        sizes = [r["size"] for r in index.levels.orderBy("bucket", F.desc("size")).collect()]
+        assert len(sizes) <= 3 * 5
+    assert got == brute.suffix(rows)
+    assert index.add(small.limit(0).select("doc_id", "text")).count() == 0
+
+
+def test_suffix_with_ids_of_many_rows(spark):
+    rng = np.random.default_rng(12)
+    prose = lambda n: "".join(rng.choice(list("abcdefgh "), n))
+    common = prose(200)
+    rows = [(k, prose(300) + common[k % 50 :]) for k in range(20)]
+    rows += [(None, prose(200) + common + f"{k}") for k in range(60)] + [(9, common + prose(400)) for _ in range(60)]
+    got = suffix.dedup(spark.createDataFrame(rows, "doc_id long, text string"), batch_mb=0.005, bucket_mb=0.01).collect()
+    assert len(got) == len(rows)
+    # as one document for each id: brute force judges rows, so an id's rows are joined by what no string crosses
+    big = (1 << 63) - 1
+    texts = [(big if i is None else i, t.encode()) for i, t in rows]
+    least: dict = {}
+    for i, t in texts:
+        for k in range(len(t) - 49):
+            least[t[k : k + 50]] = min(least.get(t[k : k + 50], big), i)
+    want = []
+    for i, t in texts:
+        gone = [False] * len(t)
+        for k in range(len(t) - 49):
+            if least[t[k : k + 50]] < i:
+                gone[k : k + 50] = [True] * 50
+        want.append((str(None if i == big else i), len(t), sum(gone), bytes(c for c, g in zip(t, gone, strict=True) if not g)))
+    assert sorted((str(r["doc_id"]), r["n_bytes"], r["n_removed"], bytes(r["kept"])) for r in got) == sorted(want)
+
+
+def test_equal_hashes_are_compared_by_bytes(monkeypatch):
+    raw = np.frombuffer(bytes(range(97, 123)) * 40, np.uint8)
+    w = np.arange(600)
+    _, want = suffix.alike(raw, w, 50)
+    monkeypatch.setattr(suffix, "span_hash", lambda sums, a, b: (a % 2).astype(np.uint64))
+    head, group = suffix.alike(raw, w, 50)
+    assert len(head) == 26 and [len(set(group[want == k])) for k in range(26)] == [1] * 26
+
+
+def test_filters_of_a_range_hold_what_is_there_twice():
+    rng = np.random.default_rng(4)
+    keys = [np.unique(rng.integers(0, 1 << 48, 5000).astype(np.uint64)) for _ in range(3)]
+    keys[2] = np.unique(np.concatenate([keys[2], keys[0][:700]]))
+    own = [np.zeros(len(k), bool) for k in keys]
+    own[1][:50] = True
+    told = lines.tell([pack_planes(np.diff(k, prepend=np.uint64(0))) for k in keys], [pack(np.packbits(o).tobytes()) for o in own])
+    got = [np.unpackbits(np.frombuffer(unpack(t), np.uint8), count=len(k)) > 0 for t, k in zip(told, keys, strict=True)]
+    assert got[0][:700].all() and got[2][np.isin(keys[2], keys[0][:700])].all() and got[1][:50].all()
+    assert sum(g.sum() for g in got) < 2 * 700 + 50 + 0.01 * sum(map(len, keys))
+
+
 def test_near_copies_with_null_and_repeated_ids(spark):
     base = " ".join(f"w{k}" for k in range(200))
     near, other = base + " more", " ".join(f"v{k}" for k in range(200))
@@ -313,6 +378,7 @@ def test_stages_on_awkward_rows(spark, sf_dir, awkward, empty):
     for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, docs, sf_dir)
         assert set(docs.columns) - {"size", "target"} <= set(out.columns), name
+        assert name == "source_mixing" or out.columns == docs.columns, name
         assert stage(spark, empty, sf_dir).count() == 0
         docs = out.persist()
     alone = jaccard.one_of_each(awkward)
