@@ -85,7 +85,7 @@ def marginal_list(text: str) -> tuple[tuple[str, ...], ...]:
 
 def parser() -> argparse.ArgumentParser:
     """A command line with one option for each field of RunConfig."""
-    out = argparse.ArgumentParser(description=__doc__)
+    out = argparse.ArgumentParser(description=__doc__, add_help=False)
     for f in fields(RunConfig):
         kind = str2bool if isinstance(f.default, bool) else marginal_list if isinstance(f.default, tuple) else type(f.default) if f.default is not None else (int if f.name == "seed" else str)
         out.add_argument(f"--{f.name}", type=kind, default=f.default)

@@ -28,17 +28,26 @@ def jsd(a: DataFrame, b: DataFrame, keys: Sequence[str], weight: str | None = No
     return _shares(a, b, keys, weight).agg(F.sqrt(F.greatest(F.sum(part("p") + part("q")) / 2, F.lit(0.0))).alias("jsd"))
 
 
-def emd(a: DataFrame, b: DataFrame, fields: Sequence[str]) -> DataFrame:
+def emd(a: DataFrame, b: DataFrame, fields: Sequence[str], at_once: int = 1_000_000) -> DataFrame:
     """(field, emd): the area between the two distribution functions, for all fields in one job.
 
-    Each field's distinct values are summed before they are sorted, by field and not as rows.
+    Each field's distinct values are summed before they are sorted. A field of more than `at_once` of them is cut into buckets
+    of equal width, which are summed first, so that no task sorts a whole field.
     """
     stacked = [x.select(F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).cast("double").alias("x")) for f in fields))).alias("e"), F.lit(s).alias("s")).select("e.*", "s").where("x is not null") for x, s in ((a, 1), (b, 0))]
     one = stacked[0].union(stacked[1]).groupBy("field", "x").agg(F.sum("s").alias("a"), F.sum(1 - F.col("s")).alias("b"))
-    w = Window.partitionBy("field").orderBy("x")
-    upto, every = w.rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy("field")
-    gap = F.abs(F.sum("a").over(upto) / F.sum("a").over(every) - F.sum("b").over(upto) / F.sum("b").over(every))
-    return one.select("field", (gap * (F.lead("x").over(w) - F.col("x"))).alias("d")).groupBy("field").agg(F.coalesce(F.sum("d"), F.lit(0.0)).alias("emd"))
+    spans = one.groupBy("field").agg(F.min("x").alias("low"), F.max("x").alias("high"), F.ceil(F.count("*") / at_once).alias("n"), F.sum("a").alias("na"), F.sum("b").alias("nb"))
+    wide = F.when(F.col("high") > F.col("low"), F.least(F.floor((F.col("x") - F.col("low")) / (F.col("high") - F.col("low")) * F.col("n")), F.col("n") - 1)).otherwise(0)
+    one = one.join(F.broadcast(spans), "field").withColumn("bucket", F.coalesce(wide, F.lit(0)))
+    per = one.groupBy("field", "bucket").agg(F.sum("a").alias("sa"), F.sum("b").alias("sb"), F.min("x").alias("begin"))  # a row a bucket
+    row = Window.partitionBy("field").orderBy("bucket")
+    before = lambda c: F.coalesce(F.sum(c).over(row.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    per = per.select("field", "bucket", before("sa").alias("ba"), before("sb").alias("bb"), F.lead("begin").over(row).alias("next"))
+    w = Window.partitionBy("field", "bucket").orderBy("x")
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    share = lambda c: (F.col(f"b{c}") + F.sum(c).over(upto)) / F.when(F.col(f"n{c}") > 0, F.col(f"n{c}"))
+    gap = F.abs(share("a") - share("b")) * (F.coalesce(F.lead("x").over(w), F.col("next")) - F.col("x"))
+    return one.join(F.broadcast(per), ["field", "bucket"]).select("field", gap.alias("d")).groupBy("field").agg(F.coalesce(F.sum("d"), F.lit(0.0)).alias("emd"))
 
 
 def normalized_emd(distances: DataFrame) -> DataFrame:

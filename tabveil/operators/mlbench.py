@@ -11,6 +11,8 @@ from pyspark.ml.feature import StandardScaler, StringIndexer, VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabveil.operators.quota import ordered
+
 MODELS = ("dt", "lr", "rf", "gbt", "mlp")
 
 
@@ -77,6 +79,20 @@ def rules(model, names: Sequence[str], spark) -> DataFrame:
 
 
 def class_spread(df: DataFrame, by: str, value: str) -> DataFrame:
-    """Least, quartiles and largest value of each class."""
-    q = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return df.groupBy(by).agg(F.min(value).alias("low"), q.alias("q"), F.max(value).alias("high")).select(by, "low", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"), "high")
+    """Least, quartiles and largest value of each class; nulls don't count.
+
+    Quartiles lie between two places of a distributed rank, so that a class is never sorted by one task.
+    """
+    cuts = {"q1": 0.25, "median": 0.5, "q3": 0.75}
+    rows = df.select(F.col(by).alias("__class"), F.col(value).alias("__value"))
+    sizes = rows.groupBy("__class").agg(F.count("__value").alias("n"), F.min("__value").alias("low"), F.max("__value").alias("high"))
+    placed = ordered(rows.where("__value is not null"), F.col("__value"), ["__class"], "__place", F.col("__value").cast("double"))
+    sizes = sizes.select(F.col("__class").alias(by), "n", "low", "high")
+    near = placed.join(F.broadcast(sizes), F.col("__class").eqNullSafe(F.col(by)))
+    sums = []
+    for name, q in cuts.items():
+        at = (F.col("n") - 1) * F.lit(q)
+        weight = F.when(F.col("__place") == F.floor(at), 1 - (at - F.floor(at))).when(F.col("__place") == F.floor(at) + 1, at - F.floor(at)).otherwise(0.0)
+        sums.append(F.sum(F.when(weight > 0, weight * F.col("__value"))).alias(name))
+    found = near.groupBy("__class").agg(*sums)
+    return sizes.join(F.broadcast(found), F.col(by).eqNullSafe(F.col("__class")), "left").select(by, "low", *cuts, "high")

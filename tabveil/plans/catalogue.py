@@ -654,6 +654,39 @@ def flow_size(spark, d):
     return metrics.with_flow_size(t(spark, d, "events"), ["user_id", "event_type"]).select("event_id", "flow_size")
 
 
+_FLOW = {"srcip": "l_suppkey", "dstip": "l_partkey % 50", "srcport": "l_linenumber", "dstport": "l_quantity", "proto": "l_returnflag", "ts": "l_orderkey", "time": "l_orderkey", "td": "l_discount", "pkt": "l_quantity", "pkt_len": "l_quantity", "byt": "l_extendedprice"}
+
+
+def _traces(spark, d):
+    """Lines as flows: open ones against finished ones."""
+    df = t(spark, d, "lineitem")
+    return (df.where(F.col("l_linestatus") == s).select(*(F.expr(e).alias(c) for c, e in _FLOW.items())) for s in "OF")
+
+
+def _report_sql(fields: tuple[str, ...]) -> str:
+    made = ", ".join(f"{e} AS {c}" for c, e in _FLOW.items() if c != "time")
+    key = ", ".join(metrics.FLOW_KEY)
+    out = [f"WITH fl AS (SELECT l_linestatus AS side, {made}, l_orderkey / 1e6 AS time_ms FROM lineitem), fs AS (SELECT *, count(*) OVER (PARTITION BY side, {key}) AS flow_size FROM fl), nn AS (SELECT count(*) FILTER (side = 'O')::DOUBLE AS no, count(*) FILTER (side = 'F')::DOUBLE AS nf FROM fl)"]
+    jsd = [f"SELECT 'jsd' AS metric, '{f}' AS field, sqrt(greatest(sum(CASE WHEN p > 0 THEN p * ln(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * ln(2 * q / (p + q)) ELSE 0 END) / 2, 0)) AS value FROM (SELECT count(*) FILTER (side = 'O') / any_value(no) AS p, count(*) FILTER (side = 'F') / any_value(nf) AS q FROM fs, nn GROUP BY {f})" for f in metrics.FLOW_KEY]
+    emd = [f"SELECT 'emd' AS metric, '{f}' AS field, sum(abs(fa - fb) * (nx - x)) AS value FROM (SELECT x, lead(x) OVER (ORDER BY x) AS nx, sum(a) OVER (ORDER BY x) / no AS fa, sum(b) OVER (ORDER BY x) / nf AS fb FROM (SELECT {f}::DOUBLE AS x, count(*) FILTER (side = 'O') AS a, count(*) FILTER (side = 'F') AS b FROM fs GROUP BY 1), nn)" for f in fields]
+    out.append(f"em AS ({' UNION ALL '.join(emd)})")
+    return ", ".join(out) + f" {' UNION ALL '.join(f'SELECT metric, field, round(value, 9) AS value, NULL::DOUBLE AS normalized FROM ({x})' for x in jsd)} UNION ALL SELECT metric, field, round(value, 6), round(0.1e0 + 0.8e0 * (value - (SELECT min(value) FROM em)) / ((SELECT max(value) FROM em) - (SELECT min(value) FROM em)), 9) FROM em"
+
+
+def _rounded_report(df):
+    return df.select("metric", "field", F.when(F.col("metric") == "emd", r("value", 6)).otherwise(r("value")).alias("value"), r("normalized").alias("normalized"))
+
+
+@query(_report_sql(("ts", "td", "pkt", "byt")))
+def flow_report(spark, d):
+    return _rounded_report(metrics.flow_report(*_traces(spark, d)))
+
+
+@query(_report_sql(("pkt_len", "time_ms", "flow_size")))
+def packet_report(spark, d):
+    return _rounded_report(metrics.packet_report(*_traces(spark, d)))
+
+
 # ---- sketches
 
 
@@ -711,6 +744,12 @@ def hh_relative_error(spark, d):
     return sketches.relative_error(raw, syn, "l_partkey", "cms", **sketches.SHAPES["cms"]).withColumn("error", r("error"))
 
 
+@query(_error_sql("median"))
+def hh_error_median(spark, d):
+    raw, syn = _sides(spark, d, "l_partkey")
+    return sketches.relative_error(raw, syn, "l_partkey", "median", **sketches.SHAPES["median"]).withColumn("error", r("error"))
+
+
 @query()
 def sketch_report(spark, d):
     raw, syn = _sides(spark, d, "l_partkey")
@@ -747,6 +786,14 @@ for _k in mlbench.MODELS:
     QUERIES[f"ml_{_k}"] = _ml(_k)
 
 
+@query()
+def ml_compare(spark, d):
+    """Trees and logistic regression on open and on finished lines, with a categorical feature."""
+    df = t(spark, d, "lineitem")
+    raw, syn = (df.where(F.col("l_linestatus") == s) for s in "OF")
+    return mlbench.compare(raw, syn, ["l_quantity", "l_discount", "l_extendedprice"], ["l_returnflag"], "l_linenumber", ("dt", "lr"))
+
+
 @query()
 def lr_coefficients(spark, d):
     _, train, _ = mlbench.prepare(_events(spark, d), _NUMBERS, [], "event_type")

@@ -174,9 +174,13 @@ class Pipeline:
         self.held = []
 
     def run(self, raw: DataFrame, fields: Mapping[str, FieldSpec]) -> Result:
-        c, spark = self.config, raw.sparkSession
+        """From raw records: learn the codes, then as run_codes."""
         model = codecs.fit(raw, fields)
-        codes = model.encode(raw).persist()
+        return self.run_codes(model.encode(raw), model)
+
+    def run_codes(self, codes: DataFrame, model: codecs.CodecModel) -> Result:
+        c, spark = self.config, codes.sparkSession
+        codes = codes.persist()
         n, domain = codes.count(), model.domain
         delta = privacy.delta_for(n)
         depend, rest = privacy.split(c.epsilon, c.depend_epsilon_ratio)
