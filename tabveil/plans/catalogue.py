@@ -376,29 +376,49 @@ def greedy_select(spark, d):
     return _marginals_frame(spark, selection.greedy(table, n, privacy.rho_for(1.8, privacy.delta_for(n)), threshold=n * 0.001))
 
 
-_GRAPH = [("A", "B"), ("B", "C"), ("C", "A"), ("B", "D"), ("C", "E")]
+def _graph(spark, d):
+    """Pairs of lineitem's attributes whose dependence is four fifths of the mean or more, and the domain."""
+    dep, dom, _ = _dep(spark, d)
+    table = dep.orderBy("first_attr", "second_attr").collect()  # one row for each pair of attributes
+    least = 0.8 * sum(x["error"] for x in table) / len(table)
+    return [(x["first_attr"], x["second_attr"]) for x in table if x["error"] >= least], dom
+
+
+GRAPH = f"""{DEP}, e AS (SELECT first_attr AS a, second_attr AS b FROM dep WHERE error >= 0.8e0 * (SELECT avg(error) FROM dep)),
+two AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+size AS (SELECT unnest({list(LINE)}) AS a, unnest([{', '.join(f'(SELECT max({a}) + 1 FROM li)' for a in LINE)}]) AS n),
+tri AS (SELECT x.a, x.b, y.b AS c FROM two x JOIN two y ON x.b = y.a JOIN two z ON z.a = y.b AND z.b = x.a WHERE x.a < x.b AND x.b < y.b),
+big AS (SELECT tri.a, tri.b, tri.c FROM tri JOIN size p ON p.a = tri.a JOIN size q ON q.a = tri.b JOIN size r ON r.a = tri.c WHERE p.n * q.n * r.n < 5000),
+lost AS (SELECT e.a, e.b FROM e WHERE NOT EXISTS (SELECT 1 FROM big WHERE e.a IN (big.a, big.b, big.c) AND e.b IN (big.a, big.b, big.c)))"""
 
 
-@query("SELECT * FROM (VALUES (0, 'A,B,C'), (1, 'B,D'), (2, 'C,E')) AS v(place, marginal)")
+@query(f"WITH {GRAPH} SELECT a || ',' || b || ',' || c AS marginal FROM big UNION ALL SELECT least(a, b) || ',' || greatest(a, b) FROM lost")
 def combine_cliques(spark, d):
-    return _marginals_frame(spark, selection.combine(_GRAPH, Domain.from_dict(dict.fromkeys("ABCDE", 4))))
+    """The graph holds no clique of four attributes; SQL finds triangles."""
+    edges, dom = _graph(spark, d)
+    return spark.createDataFrame([(",".join(sorted(m)),) for m in selection.combine(edges, dom)], "marginal string")
 
 
-@query("SELECT * FROM (VALUES (0, 'D', 'B'), (0, 'E', 'C')) AS v(layer, attr, ancestor)")
+@query(f"""WITH {GRAPH}, deg AS (SELECT a, count(*) AS n FROM two GROUP BY a), l0 AS (SELECT two.a, two.b FROM two JOIN deg USING (a) WHERE n = 1),
+t1 AS (SELECT * FROM two WHERE (a, b) NOT IN (SELECT a, b FROM l0) AND (b, a) NOT IN (SELECT a, b FROM l0)), d1 AS (SELECT a, count(*) AS n FROM t1 GROUP BY a)
+SELECT 0 AS layer, a AS attr, b AS ancestor FROM l0 UNION ALL SELECT 1, t1.a, t1.b FROM t1 JOIN d1 USING (a) WHERE n = 1""")
 def clip_layers(spark, d):
-    layers, _ = selection.clip(_GRAPH)
+    layers, _ = selection.clip(_graph(spark, d)[0])
     return spark.createDataFrame([(k, a, b) for k, x in enumerate(layers) for a, b in x.ancestor.items()], "layer int, attr string, ancestor string")
 
 
-@query("SELECT * FROM (VALUES (0, 'A,B', 1), (1, 'C,D,E', 2)) AS v(part, attrs, marginals)")
+@query(f"""WITH RECURSIVE {GRAPH}, reach(a, b) AS (SELECT a, a FROM two UNION SELECT reach.a, two.b FROM reach JOIN two ON two.a = reach.b),
+part AS (SELECT a, min(b) AS k FROM reach GROUP BY a)
+SELECT string_agg(a, ',' ORDER BY a) AS attrs, (SELECT count(*)::INT FROM e JOIN part q ON q.a = e.a WHERE q.k = part.k) AS marginals FROM part GROUP BY k""")
 def components(spark, d):
-    found = selection.components([("A", "B"), ("C", "D"), ("D", "E")])
-    return spark.createDataFrame([(k, ",".join(sorted(a)), len(m)) for k, (a, m) in enumerate(found)], "part int, attrs string, marginals int")
+    found = selection.components(_graph(spark, d)[0])
+    return spark.createDataFrame([(",".join(sorted(a)), len(m)) for a, m in found], "attrs string, marginals int")
 
 
-@query("SELECT * FROM (VALUES ('B', 'D'), ('C', 'E')) AS v(first_attr, second_attr)")
+@query(f"WITH {GRAPH} SELECT a AS first_attr, b AS second_attr FROM lost")
 def missing_pairs(spark, d):
-    return spark.createDataFrame(selection.missing(_GRAPH, [("A", "B", "C")]), "first_attr string, second_attr string")
+    edges, dom = _graph(spark, d)
+    return spark.createDataFrame(selection.missing(edges, [m for m in selection.combine(edges, dom) if len(m) > 2]), "first_attr string, second_attr string")
 
 
 # ---- recoding
