@@ -12,16 +12,18 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tabveil.llm.blobs import docs_of, pack, pack_planes, unpack, unpack_planes
+from tabveil.llm.blobs import Steps, docs_of, pack, pack_planes, unpack, unpack_planes
 from tabveil.llm.text import BASE, LOWER, U64, WHITE, buffers, mix, powers, prefix, slabs, span_hash
 
 HASH = U64(16)  # bits of a line's hash that aren't sent
 PROBES = 3
 BITS = 16  # of a filter for each hash
+SENT = 500_000  # keys that many documents hold, broadcast at most
 OTHER = 0xA24BAED4963EE407  # a second base for hashes
 
 
@@ -59,9 +61,8 @@ def lines_of(data: np.ndarray, offs: np.ndarray, least: int) -> Lines:
             todo = todo[(first[todo] < last[todo])]
             todo = todo[~solid[edge[todo] - (step < 0)]]
             edge[todo] += step
-    points = np.zeros(len(data) + 1, np.int32 if len(data) < 1 << 31 else np.int64)
-    np.cumsum((data & 0xC0) != 0x80, out=points[1:])
-    use = points[last] - points[first] >= least
+    more = np.flatnonzero((data & 0xC0) == 0x80)  # bytes that begin no code point
+    use = last - first - (np.searchsorted(more, last) - np.searchsorted(more, first)) >= least
     long, first, last = some[use], first[use], last[use]
     high = np.zeros(len(long), U64)
     for a, b in slabs(offs):
@@ -130,7 +131,7 @@ ASK = "batch long, bucket int, blob binary, flags binary"
 TOLD = "batch long, bucket int, blob binary"
 
 
-def dedup_lines(docs: DataFrame, least: int = 40, copies: int = 5, keep_columns: bool = False, batch_mb: float = 16, bucket_mb: float = 64) -> DataFrame:
+def dedup_lines(docs: DataFrame, least: int = 40, copies: int = 5, keep_columns: bool = False, batch_mb: float = 8, bucket_mb: float = 64) -> DataFrame:
     """Drop lines whose key at least `copies` documents hold, except in the largest doc_id that holds it.
 
     A key is a line without [\\x20\\x09-\\x0D] at both ends, A-Z lower-cased; keys under `least` code points always
@@ -139,7 +140,8 @@ def dedup_lines(docs: DataFrame, least: int = 40, copies: int = 5, keep_columns:
     null. A null doc_id counts as the smallest, and rows of one doc_id as one document. Keys are told apart by 128-bit
     hashes. An empty table gives none.
 
-    Texts are shuffled once, by batch; lines that only one document holds, but for false alarms, never are.
+    Texts are shuffled once, by batch; lines that only one document holds, but for false alarms, never are. Up to SENT
+    common keys are broadcast, with the doc_id that keeps each; more go to the batches that lose them, with a second shuffle of texts.
     """
     if copies < 2:
         raise ValueError("copies must be 2 or more")
@@ -158,7 +160,7 @@ def dedup_lines(docs: DataFrame, least: int = 40, copies: int = 5, keep_columns:
 
     def opened(table):
         data, offs = buffers(table[names[1]])
-        return data, offs, lines_of(data, offs, least), table[names[0]].to_numpy()
+        return data, offs, lines_of(data, offs, least), table[names[0]].to_numpy(zero_copy_only=False) if isinstance(table, pa.RecordBatch) else table[names[0]].to_numpy()
 
     def first(batch, table):
         _, _, lines, ids = opened(table)
@@ -181,34 +183,86 @@ def dedup_lines(docs: DataFrame, least: int = 40, copies: int = 5, keep_columns:
         found = found.view(np.int64).reshape(-1, 3)
         return pa.table({"batch": pa.array([batch[0].as_py()] * len(found), pa.int64()), "id": found[:, 0], "high": found[:, 1], "low": found[:, 2]})
 
-    by_batch = dealt.groupBy(names[2])
+    steps = Steps(docs.sparkSession)
+    by_batch = dealt.select(names[0], names[1], names[2]).groupBy(names[2])
     told = by_batch.applyInArrow(first, ASK).groupBy("bucket").applyInArrow(second, TOLD)
-    held = by_batch.cogroup(told.groupBy("batch")).applyInArrow(suspects, "batch long, id long, high long, low long")
+    held = steps.keep(by_batch.cogroup(told.groupBy("batch")).applyInArrow(suspects, "batch long, id long, high long, low long"))
     # rows of one doc_id may lie in several batches
     common = held.select("high", "low", "id").distinct().groupBy("high", "low").agg(F.count("*").alias("c"), F.max("id").alias("keeper")).where(F.col("c") >= copies)
-    lose = held.join(common, ["high", "low"]).where("id <> keeper").select("batch", "id", "high", "low")
+    common = steps.keep(common.select("high", "low", "keeper"))
     schema = StructType(list(docs.schema)) if keep_columns else None
-    order = [c if c != "text" else names[1] for c in docs.columns]
+    out = schema if keep_columns else "doc_id long, n_lines long, n_dropped long, text string"
+    columns = [names[1] if c == "text" else c for c in docs.columns] if keep_columns else ["doc_id"]
 
-    def finish(batch, table, drop):
+    def cut(table, loses):
+        """A table's rows without the lines that loses(ids, high, low) names."""
         data, offs, lines, ids = opened(table)
+        near = np.flatnonzero(loses.some(lines.high.view(np.int64)))
         gone = np.zeros(len(lines.row), bool)
-        wanted = np.unique(np.stack([drop[c].to_numpy() for c in ("id", "high", "low")], 1), axis=0)
-        if len(wanted):
-            near = np.flatnonzero(np.isin(lines.high.view(np.int64), wanted[:, 1]))
-            mine = np.stack([ids[lines.row[lines.long[near]]], lines.high[near].view(np.int64), low_half(data, lines, near).view(np.int64)], 1)
-            gone[lines.long[near]] = np.isin(whole(mine), whole(wanted))
-        n_lines = np.bincount(lines.row, minlength=len(ids))
-        n_dropped = np.bincount(lines.row, weights=gone, minlength=len(ids)).astype(np.int64)
+        if len(near):
+            gone[lines.long[near]] = loses.all(ids[lines.row[lines.long[near]]], lines.high[near].view(np.int64), low_half(data, lines, near).view(np.int64))
         texts = without(data, offs, lines, gone)
         if keep_columns:
-            null = pa.array(np.asarray(table[names[1]].is_null()))
-            texts = pa.array(texts.to_pylist(), pa.string(), mask=np.asarray(null)) if table[names[1]].null_count else texts
-            return pa.table([texts if c == names[1] else table[c] for c in order], names=list(docs_names))
-        return pa.table({"doc_id": table["doc_id"], "n_lines": n_lines.astype(np.int64), "n_dropped": n_dropped, "text": texts})
+            texts = pc.if_else(pc.is_null(table[names[1]]), pa.scalar(None, pa.string()), texts)
+            return [texts if c == names[1] else table[c] for c in columns], docs_names
+        n_dropped = np.bincount(lines.row, weights=gone, minlength=len(ids)).astype(np.int64)
+        return [table["doc_id"], pa.array(np.bincount(lines.row, minlength=len(ids)).astype(np.int64)), pa.array(n_dropped), texts], ["doc_id", "n_lines", "n_dropped", "text"]
+
+    docs_names = list(docs.columns)
+    if common.count() <= SENT:  # three numbers a key
+        rows = common.toArrow()
+        known = docs.sparkSession.sparkContext.broadcast(Common(*(rows[c].to_numpy() for c in ("high", "low", "keeper"))))
+
+        def in_place(batches):
+            for batch in batches:
+                for lo in range(0, batch.num_rows, 2000):
+                    part, named = cut(batch.slice(lo, 2000), known.value)
+                    yield pa.RecordBatch.from_arrays([x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in part], names=named)
+
+        return dealt.drop(names[2]).mapInArrow(in_place, out)
+
+    lose = held.join(common, ["high", "low"]).where("id <> keeper").select("batch", "id", "high", "low")
+
+    def finish(batch, table, drop):
+        part, named = cut(table, Listed(*(drop[c].to_numpy() for c in ("id", "high", "low"))))
+        return pa.table(part, names=named)
+
+    return dealt.groupBy(names[2]).cogroup(lose.groupBy("batch")).applyInArrow(finish, out)
+
+
+class Common(NamedTuple):
+    """Keys that many documents hold, and the doc_id that keeps each."""
+
+    high: np.ndarray
+    low: np.ndarray
+    keeper: np.ndarray
+
+    def some(self, high: np.ndarray) -> np.ndarray:
+        return np.isin(high, self.high)
+
+    def all(self, ids: np.ndarray, high: np.ndarray, low: np.ndarray) -> np.ndarray:
+        by = np.lexsort((self.low, self.high))
+        keys, keeper = whole(np.stack([self.high[by], self.low[by]], 1)), self.keeper[by]
+        mine, place = np.unique(whole(np.stack([high, low], 1)), return_inverse=True)
+        both, at, of = np.intersect1d(keys, mine, assume_unique=True, return_indices=True)
+        kept = np.zeros(len(mine), np.int64)
+        held = np.zeros(len(mine), bool)
+        kept[of], held[of] = keeper[at], True
+        return held[place] & (kept[place] != ids)
+
+
+class Listed(NamedTuple):
+    """Lines that documents of one batch lose."""
+
+    ids: np.ndarray
+    high: np.ndarray
+    low: np.ndarray
+
+    def some(self, high: np.ndarray) -> np.ndarray:
+        return np.isin(high, self.high)
 
-    docs_names = tuple(docs.columns)
-    return by_batch.cogroup(lose.groupBy("batch")).applyInArrow(finish, schema if keep_columns else "doc_id long, n_lines long, n_dropped long, text string")
+    def all(self, ids: np.ndarray, high: np.ndarray, low: np.ndarray) -> np.ndarray:
+        return np.isin(whole(np.stack([ids, high, low], 1)), whole(np.stack(self, 1)))
 
 
 def whole(rows: np.ndarray) -> np.ndarray:
@@ -218,15 +272,17 @@ def whole(rows: np.ndarray) -> np.ndarray:
 
 def without(data: np.ndarray, offs: np.ndarray, lines: Lines, gone: np.ndarray) -> pa.Array:
     """Each row's lines that stay, joined by line breaks."""
-    keep = ~gone
-    change = np.zeros(len(data) + 1, np.int64)
+    change = np.zeros(len(data) + 1, np.int8)
     # a line goes with the break before it; the first line that stays in a row comes without one
-    stays = np.flatnonzero(keep)
+    stays = np.flatnonzero(~gone)
     first = np.ones(len(stays), bool)
     first[1:] = lines.row[stays[1:]] != lines.row[stays[:-1]]
     lead = lines.start[stays] - ~first
+    some = lines.end[stays] > lead  # an empty line alone has no bytes; others never begin or end together
+    lead, end = lead[some], lines.end[stays[some]]
     np.add.at(change, lead, 1)
-    np.add.at(change, lines.end[stays], -1)
-    mask = np.cumsum(change[:-1]) > 0
-    sizes = np.concatenate([[0], np.cumsum(mask)])[offs]
-    return pa.LargeStringArray.from_buffers(len(offs) - 1, pa.py_buffer(sizes.astype(np.int64).tobytes()), pa.py_buffer(data[mask].tobytes())).cast(pa.string())
+    np.add.at(change, end, -1)
+    mask = np.cumsum(change[:-1], dtype=np.int8) > 0
+    sizes = np.zeros(len(offs), np.int64)
+    np.cumsum(np.bincount(lines.row[stays[some]], weights=end - lead, minlength=len(offs) - 1).astype(np.int64), out=sizes[1:])
+    return pa.LargeStringArray.from_buffers(len(offs) - 1, pa.py_buffer(sizes.tobytes()), pa.py_buffer(data[mask].tobytes())).cast(pa.string())

@@ -99,7 +99,9 @@ class TestAgainstBrute:
         got = lines.dedup_lines(df).withColumn("h", F.sha2(F.col("text").cast("binary"), 256))
         assert by_id(got, "n_lines", "n_dropped", "h") == brute.lines(pairs(df))
 
-    def test_lines_in_many_batches(self, df):
+    @pytest.mark.parametrize("sent", [500_000, 0])
+    def test_lines_in_many_batches(self, df, sent, monkeypatch):
+        monkeypatch.setattr(lines, "SENT", sent)
         got = lines.dedup_lines(df, least=10, copies=3, batch_mb=0.01, bucket_mb=0.01).withColumn("h", F.sha2(F.col("text").cast("binary"), 256))
         assert by_id(got, "n_lines", "n_dropped", "h") == brute.lines(pairs(df), 10, 3)
 
