@@ -138,4 +138,27 @@ SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (gone)
 FROM marked GROUP BY r
 """
 
-ORACLE = {"op2_mixing": OP2, "op3_suffix_dedup": OP3, "op4_ngram_jaccard": OP4, "op5_decontamination": OP5, "op6_quality_rules": OP6, "op7_line_dedup": OP7}
+def _backoff(one: str, two: str, three: str, words: str) -> str:
+    """The log score of a word from the counts of its n-grams and their histories (h1, h2) less what is subtracted."""
+    sub = lambda c: c.format(one)
+    alone = f"ln(greatest({sub('c1 {}')}, 1) / greatest({words}, 1)::DOUBLE)"
+    pair = f"CASE WHEN i < 2 THEN {alone} WHEN c2 {two} > 0 THEN ln((c2 {two}) / (h1 {one.replace('o1', 'ho1')})::DOUBLE) ELSE ln(0.4e0) + {alone} END"
+    return f"CASE WHEN i < 3 THEN {pair} WHEN c3 {three} > 0 THEN ln((c3 {three}) / (h2 {two.replace('o2', 'ho2')})::DOUBLE) ELSE ln(0.4e0) + {pair} END"
+
+
+OP9 = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({LOWER.format("coalesce(text, '')")}, '[^\x20\x09-\x0D]+') AS w FROM documents
+), t AS (SELECT r, len(w) AS m, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM d
+), g AS (SELECT *, lag(x) OVER p AS y, lag(x, 2) OVER p AS z FROM t WINDOW p AS (PARTITION BY r ORDER BY i)
+), c AS (
+  SELECT *, count(*) OVER (PARTITION BY x) AS c1, count(*) OVER (PARTITION BY r, x) AS o1, count(*) OVER (PARTITION BY y, x) AS c2, count(*) OVER (PARTITION BY r, y, x) AS o2,
+         count(*) OVER (PARTITION BY z, y, x) AS c3, count(*) OVER (PARTITION BY r, z, y, x) AS o3, count(*) OVER () AS n
+  FROM g
+), h AS (SELECT *, lag(c1) OVER p AS h1, lag(o1) OVER p AS ho1, lag(c2) OVER p AS h2, lag(o2) OVER p AS ho2 FROM c WINDOW p AS (PARTITION BY r ORDER BY i)
+), s AS (SELECT r, count(*) AS m, sum({_backoff("", "", "", "n")}) AS a, sum({_backoff("- o1", "- o2", "- o3", "n - m")}) AS b FROM h GROUP BY r)
+SELECT doc_id, coalesce(m, 0) AS n_words, round(coalesce(a, 0), 6) AS log_score, round(a / m, 6) AS per_word, round(coalesce(b, 0), 6) AS rest_score, round(b / m, 6) AS rest_per_word
+FROM d LEFT JOIN s USING (r)
+"""
+
+ORACLE = {"op2_mixing": OP2, "op3_suffix_dedup": OP3, "op4_ngram_jaccard": OP4, "op5_decontamination": OP5, "op6_quality_rules": OP6, "op7_line_dedup": OP7, "op9_lm_scoring": OP9}

@@ -59,7 +59,8 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm.score(table(spark, sf_dir, "documents"))
+    out = lm.score(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", *(F.round(c, 6).alias(c) for c in ("log_score", "per_word", "rest_score", "rest_per_word")))
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
