@@ -157,7 +157,7 @@ WITH d AS (
   FROM g
 ), h AS (SELECT *, lag(c1) OVER p AS h1, lag(o1) OVER p AS ho1, lag(c2) OVER p AS h2, lag(o2) OVER p AS ho2 FROM c WINDOW p AS (PARTITION BY r ORDER BY i)
 ), s AS (SELECT r, count(*) AS m, sum({_backoff("", "", "", "n")}) AS a, sum({_backoff("- o1", "- o2", "- o3", "n - m")}) AS b FROM h GROUP BY r)
-SELECT doc_id, coalesce(m, 0) AS n_words, round(coalesce(a, 0), 6) AS log_score, round(a / m, 6) AS per_word, round(coalesce(b, 0), 6) AS rest_score, round(b / m, 6) AS rest_per_word
+SELECT doc_id, coalesce(m, 0) AS n_words, round(coalesce(b / m, 0), 6) AS rest_log_score, round(coalesce(a, 0), 6) AS log_score, round(a / m, 6) AS per_word, round(coalesce(b, 0), 6) AS rest_sum
 FROM d LEFT JOIN s USING (r)
 """
 

@@ -59,8 +59,10 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First the mean score of a word under all other rows, which tells repeated texts from others; 0 without words."""
     out = lm.score(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_words", *(F.round(c, 6).alias(c) for c in ("log_score", "per_word", "rest_score", "rest_per_word")))
+    columns = {"rest_log_score": F.coalesce("rest_per_word", F.lit(0.0)), "log_score": F.col("log_score"), "per_word": F.col("per_word"), "rest_sum": F.col("rest_score")}
+    return out.select("doc_id", "n_words", *(F.round(c, 6).alias(name) for name, c in columns.items()))
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
