@@ -60,7 +60,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), limit: float =
     columns and size, source_size, target, taken, positions (one for each time that the document is taken, ascending; empty if
     it isn't) and position, the first of them (null if none). Rows come sorted by range of position, nulls first.
     A name that the input has already is replaced. Sizes are words; null texts have 0. Null sources are a source.
-    Ties fall by doc_id, then by a hash of the text; equal rows share their order. Empty tables give none.
+    Ties fall by doc_id, then by a hash of the text; rows that repeat both can't be told apart and lie in one bucket. Empty tables give none.
 
     A source may hold any share of the rows: its documents are dealt to about as many hash buckets as a bucket has rows,
     summed by bucket, and only a bucket's rows are sorted together.
