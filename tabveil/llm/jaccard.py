@@ -38,7 +38,8 @@ VERIFY = 40.0  # cost of verifying a candidate, in postings read
 FLIPS = 8  # 64-bit words of a bitmap
 HOLDERS = 20_000  # holders of one shingle that a task compares with as many others
 BLOCK = 250_000  # shingles of a block's sets
-COLUMNS = 8192  # shingles of a block that are multiplied at a time
+MEMBERS = 512  # classes of a block
+COLUMNS = 2048  # shingles of a block that are multiplied at a time
 SENT = 500_000  # rows of a few numbers that are broadcast at most
 
 
@@ -308,13 +309,13 @@ def compared(docs: DataFrame, rows: DataFrame, meta: DataFrame, guests: DataFram
     """(cls, links, root): of the classes of one cell, how many rows of others each is linked with, and the least class it hangs with.
 
     Classes lie in bands by the logarithm of their size, so that linked ones are in the same band or in neighbouring ones,
-    and a cluster's band is dealt by hash to blocks of about BLOCK shingles. Every two blocks of one band or two neighbouring
+    and a cluster's band is dealt by hash to blocks of about BLOCK shingles and MEMBERS classes at most. Every two blocks of one band or two neighbouring
     ones meet in one cell. Guests aren't compared with guests.
     """
     band = F.floor(F.log(F.col("n")) / float(np.log(100 / percent * (1 + 1e-9)))) if percent < 100 else F.col("n")
     own = meta.select("cls", "cluster", "n", F.lit(False).alias("guest")).union(guests.join(meta.select("cls", "n"), "cls").select("cls", "cluster", "n", F.lit(True)))
     own = whole = steps.keep(own.withColumn("band", band.cast("long")))
-    bands = own.groupBy("cluster", "band").agg(F.ceil(F.sum("n") / BLOCK).alias("blocks"), F.count("*").alias("c")).groupBy("cluster").agg(F.map_from_entries(F.collect_list(F.struct("band", "blocks"))).alias("bands"), F.sum("c").alias("c"))
+    bands = own.groupBy("cluster", "band").agg(F.ceil(F.greatest(F.sum("n") / BLOCK, F.count("*") / MEMBERS)).alias("blocks"), F.count("*").alias("c")).groupBy("cluster").agg(F.map_from_entries(F.collect_list(F.struct("band", "blocks"))).alias("bands"), F.sum("c").alias("c"))
     own = own.join(bands.where("c > 1").drop("c"), "cluster").withColumn("block", F.expr("pmod(xxhash64(cls), bands[band])"))
     # (left block's band and number, right block's, whether this class is of the right block)
     cell = "named_struct('p', {}, 'i', {}, 'q', {}, 'j', {}, 'right', {})"
@@ -385,7 +386,7 @@ def compared(docs: DataFrame, rows: DataFrame, meta: DataFrame, guests: DataFram
             f, g = np.searchsorted(place, [lo, lo + COLUMNS])
             has = np.zeros((m, COLUMNS), np.float32)
             has[row[f:g], place[f:g] - lo] = 1
-            common += has[x] @ has[y].T
+            common += has @ has.T if alone else has[x] @ has[y].T
         link = (100 * common >= percent * (size[x][:, None] + size[y][None, :] - common)) & ~(guest[x][:, None] & guest[y][None, :])
         links, label = np.zeros(m, np.int64), np.arange(m)
         if alone:
