@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 U64 = np.uint64
 BASE = 0x9E3779B97F4A7C15
 _GOLD, _M1, _M2 = U64(0xD1342543DE82EF95), U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB)
-SLAB = 2 << 20
+SLAB = 1 << 20
 
 WHITE = np.zeros(256, bool)
 WHITE[[9, 10, 11, 12, 13, 32]] = True
