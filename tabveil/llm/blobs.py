@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 import zlib
+from functools import lru_cache
+from inspect import isgeneratorfunction, signature
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +18,7 @@ try:
 except ImportError:  # an optional codec; zlib does the same job
     zstandard = None
 
+BATCH_ROWS = 2000  # of an Arrow batch: texts may be long
 SLICE = 1 << 20  # bits of a filter that are merged together
 
 
@@ -119,7 +123,7 @@ def filters(df: DataFrame, bits: int, positions) -> tuple[np.ndarray, np.ndarray
         return pa.table({"slice": pa.array([table["slice"][0].as_py()], pa.int32()), "once": [pack(once.tobytes())], "twice": [pack(twice.tobytes())]})
 
     schema = "slice int, once binary, twice binary"
-    merged = df.mapInArrow(part, schema).groupBy("slice").applyInArrow(merge, schema)
+    merged = df.mapInArrow(tidy(part), schema).groupBy("slice").applyInArrow(tidy(merge), schema)
     out = [np.zeros(size // 8, np.uint8) for _ in range(2)]
     for row in merged.toLocalIterator():
         for a, blob in zip(out, (row["once"], row["twice"]), strict=True):
@@ -132,7 +136,61 @@ def holds(bitmap: np.ndarray, at: np.ndarray) -> np.ndarray:
     return (bitmap[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
 
 
+@lru_cache
+def libc():
+    try:
+        return ctypes.CDLL("libc.so.6")
+    except OSError:  # another C library
+        return None
+
+
+def release() -> None:
+    """Give memory that was freed back to the system: Python workers live on between tasks, beside the executor's JVM."""
+    pa.default_memory_pool().release_unused()
+    if libc() is not None:
+        libc().malloc_trim(0)
+
+
+def tidy(f):
+    """A task's function that leaves no freed memory behind in its worker."""
+    if isgeneratorfunction(f):
+
+        def batches_of(batches):
+            try:
+                yield from f(batches)
+            finally:
+                release()
+
+        return batches_of
+
+    def one(a):
+        try:
+            return f(a)
+        finally:
+            release()
+
+    def two(a, b):
+        try:
+            return f(a, b)
+        finally:
+            release()
+
+    def three(a, b, c):
+        try:
+            return f(a, b, c)
+        finally:
+            release()
+
+    return (one, two, three)[len(signature(f).parameters) - 1]
+
+
 def docs_of(docs: DataFrame, *names: str) -> DataFrame:
-    """Only the columns an operator needs, in fixed types; whatever else a table has is left out."""
+    """Only the columns an operator needs, in fixed types; whatever else a table has is left out.
+
+    The session's Arrow batches are held to BATCH_ROWS rows, so that those of long texts fit in a worker.
+    """
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(docs.sparkSession.conf.get(rows)) <= BATCH_ROWS:
+        docs.sparkSession.conf.set(rows, str(BATCH_ROWS))
     kinds = {"doc_id": "long", "text": "string", "source": "string", "lang": "string"}
     return docs.select(*(F.col(f"`{c}`").cast(kinds[c]).alias(c) for c in names))

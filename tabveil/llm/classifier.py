@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabveil.llm.blobs import docs_of
+from tabveil.llm.blobs import docs_of, tidy
 from tabveil.llm.text import LOWER, U64, WHITE, buffers, grams, mix, prefix, slabs, span_hash, words
 
 BITS = 18
@@ -102,7 +102,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = 6_000, epochs: int
         w, bias = train_ftrl(examples, epochs)
         return pa.table({"w": [w.astype(np.float32).tobytes()], "bias": [bias]})
 
-    got = some.groupBy(F.lit(0).alias("g")).applyInArrow(learn, "w binary, bias double").first()
+    got = some.groupBy(F.lit(0).alias("g")).applyInArrow(tidy(learn), "w binary, bias double").first()
     return (np.frombuffer(bytes(got["w"]), np.float32), got["bias"]) if got else None
 
 
@@ -135,7 +135,7 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, train_docs
             for batch in batches:
                 yield batch.filter(pa.array(scores(batch["text"]) >= threshold))
 
-        return docs.mapInArrow(keep, docs.schema)
+        return docs.mapInArrow(tidy(keep), docs.schema)
 
     def report(batches):
         for batch in batches:
@@ -143,4 +143,4 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, train_docs
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["held_out"], pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     rows = docs_of(docs, "doc_id", "text").withColumn("held_out", held_out(F.col("doc_id")))
-    return rows.select("doc_id", "held_out", "text").mapInArrow(report, "doc_id long, held_out boolean, score double, predicted int")
+    return rows.select("doc_id", "held_out", "text").mapInArrow(tidy(report), "doc_id long, held_out boolean, score double, predicted int")

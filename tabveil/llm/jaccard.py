@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabveil.llm.blobs import Steps, bits_for, docs_of, filters, holds, pack_planes, unpack_planes
+from tabveil.llm.blobs import Steps, bits_for, docs_of, filters, holds, pack_planes, tidy, unpack_planes
 from tabveil.llm.components import components
 from tabveil.llm.text import LOWER, U64, buffers, combine, grams, mix, prefix, slabs, span_hash, words
 
@@ -162,7 +162,7 @@ def choose(docs: DataFrame, n: int, percent: int) -> DataFrame:
         return pa.table({"slice": pa.array([table["slice"][0].as_py()], pa.int32()), "counts": [total.tobytes()]})
 
     sketch = np.zeros(1 << SKETCH)
-    for row in docs.select("text").mapInArrow(count, "slice int, counts binary").groupBy("slice").applyInArrow(add, "slice int, counts binary").toLocalIterator():
+    for row in docs.select("text").mapInArrow(tidy(count), "slice int, counts binary").groupBy("slice").applyInArrow(tidy(add), "slice int, counts binary").toLocalIterator():
         sketch[row["slice"] * width : (row["slice"] + 1) * width] = np.frombuffer(bytes(row["counts"]))
     order = spark.sparkContext.broadcast(sketch)
 
@@ -180,7 +180,7 @@ def choose(docs: DataFrame, n: int, percent: int) -> DataFrame:
                 flips = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.where(new, FLIPS, 0))]), pa.int32()), pa.array(parities(rows, g, b - a)[new].ravel()))
                 yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(a, b - a), batch["key"].slice(a, b - a), pa.array(size, pa.int64()), pa.array(key), pa.array(l, pa.int32()), pa.array(size - took, pa.int32()), lists, flips], names=["doc_id", "key", "n", "cls", "l", "rest", "tokens", "flips"])
 
-    return docs.select("doc_id", "key", "text").mapInArrow(pick, "doc_id long, key long, n long, cls long, l int, rest int, tokens array<long>, flips array<long>")
+    return docs.select("doc_id", "key", "text").mapInArrow(tidy(pick), "doc_id long, key long, n long, cls long, l int, rest int, tokens array<long>, flips array<long>")
 
 
 def meetings(chosen: DataFrame, steps: Steps) -> tuple[DataFrame, DataFrame]:
@@ -209,7 +209,7 @@ def meetings(chosen: DataFrame, steps: Steps) -> tuple[DataFrame, DataFrame]:
             row = np.repeat(np.arange(len(size)), size)[ok]
             yield pa.RecordBatch.from_arrays([pa.array(tokens[ok]), *(batch[c].take(pa.array(row)) for c in ("cls", "n", "l", "rest"))], names=["token", "cls", "n", "l", "rest"])
 
-    some = one.select("tokens", "cls", "n", "l", "rest").mapInArrow(pass_on, "token long, cls long, n long, l int, rest int")
+    some = one.select("tokens", "cls", "n", "l", "rest").mapInArrow(tidy(pass_on), "token long, cls long, n long, l int, rest int")
     shared = steps.keep(some.join(held, "token").dropDuplicates(["token", "cls"]))
     meta = one.select("cls", "n", "l", "flips").join(shared.select("cls").distinct(), "cls", "left_semi").dropDuplicates(["cls"])
     steps.drop(held)
@@ -274,7 +274,7 @@ def visits(shared: DataFrame, meta: DataFrame, percent: int, steps: Steps) -> Da
                 new = np.concatenate([[True], (j[1:] != j[:-1]) | (t["cluster"][i][1:] != t["cluster"][i][:-1])])
                 yield pa.RecordBatch.from_pydict({"cls": t["cls"][j[new]], "cluster": t["cluster"][i[new]], "asked": asked[new].astype(np.int64)})
 
-    met = cells.select(*names, "flips").mapInArrow(meet, "cls long, cluster long, asked long")
+    met = cells.select(*names, "flips").mapInArrow(tidy(meet), "cls long, cluster long, asked long")
     # a shingle dealt over several cells may count more than once, which only lets more guests pass
     met = met.groupBy("cls", "cluster").agg(F.count("*").alias("c"), F.min("asked").alias("asked"))
     met = steps.keep(met.where("c >= asked").select("cls", "cluster"))
@@ -357,7 +357,7 @@ def compared(docs: DataFrame, rows: DataFrame, meta: DataFrame, guests: DataFram
                     yield pa.RecordBatch.from_arrays([*where, part["cls"].take(pa.array(k)), part["held"].take(pa.array(k)), pa.array([g[at[x] : at[x + 1]].tobytes() for x in k], pa.binary())], names=[*columns, "shingles"])
 
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    met = texts.select("text", "cls", "held", "cells").mapInArrow(sets, schema).repartition(parts, *key).sortWithinPartitions(*key, "cls")
+    met = texts.select("text", "cls", "held", "cells").mapInArrow(tidy(sets), schema).repartition(parts, *key).sortWithinPartitions(*key, "cls")
 
     def opened(batch) -> dict[str, np.ndarray]:
         return {c: batch[c].to_numpy(zero_copy_only=False) for c in (*columns, "shingles")}
@@ -408,7 +408,7 @@ def compared(docs: DataFrame, rows: DataFrame, meta: DataFrame, guests: DataFram
             cls, links, root = (np.concatenate(c) for c in zip(*(degrees(t, a, b) for a, b in zip(starts, ends, strict=True)), strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(cls), pa.array(links), pa.array(root)], names=["cls", "links", "root"])
 
-    found = steps.keep(met.mapInArrow(count, "cls long, links long, root long"))
+    found = steps.keep(met.mapInArrow(tidy(count), "cls long, links long, root long"))
     steps.drop(whole, dealt, need)
     return found
 
@@ -427,7 +427,7 @@ def only(texts: DataFrame, keys: DataFrame) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array(holds(wanted.value, at(batch)[:, 0])))
 
-    return texts.mapInArrow(pass_on, texts.schema)
+    return texts.mapInArrow(tidy(pass_on), texts.schema)
 
 
 def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:

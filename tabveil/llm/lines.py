@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tabveil.llm.blobs import Steps, docs_of, pack, pack_planes, unpack, unpack_planes
+from tabveil.llm.blobs import Steps, docs_of, pack, pack_planes, tidy, unpack, unpack_planes
 from tabveil.llm.text import BASE, LOWER, U64, WHITE, buffers, mix, powers, prefix, slabs, span_hash
 
 HASH = U64(16)  # bits of a line's hash that aren't sent
@@ -185,8 +185,8 @@ def dedup_lines(docs: DataFrame, least: int = 40, copies: int = 5, keep_columns:
 
     steps = Steps(docs.sparkSession)
     by_batch = dealt.select(names[0], names[1], names[2]).groupBy(names[2])
-    told = by_batch.applyInArrow(first, ASK).groupBy("bucket").applyInArrow(second, TOLD)
-    held = steps.keep(by_batch.cogroup(told.groupBy("batch")).applyInArrow(suspects, "batch long, id long, high long, low long"))
+    told = by_batch.applyInArrow(tidy(first), ASK).groupBy("bucket").applyInArrow(tidy(second), TOLD)
+    held = steps.keep(by_batch.cogroup(told.groupBy("batch")).applyInArrow(tidy(suspects), "batch long, id long, high long, low long"))
     # rows of one doc_id may lie in several batches
     common = held.select("high", "low", "id").distinct().groupBy("high", "low").agg(F.count("*").alias("c"), F.max("id").alias("keeper")).where(F.col("c") >= copies)
     common = steps.keep(common.select("high", "low", "keeper"))
@@ -219,7 +219,7 @@ def dedup_lines(docs: DataFrame, least: int = 40, copies: int = 5, keep_columns:
                     part, named = cut(batch.slice(lo, 2000), known.value)
                     yield pa.RecordBatch.from_arrays([x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in part], names=named)
 
-        return dealt.drop(names[2]).mapInArrow(in_place, out)
+        return dealt.drop(names[2]).mapInArrow(tidy(in_place), out)
 
     lose = held.join(common, ["high", "low"]).where("id <> keeper").select("batch", "id", "high", "low")
 
@@ -227,7 +227,7 @@ def dedup_lines(docs: DataFrame, least: int = 40, copies: int = 5, keep_columns:
         part, named = cut(table, Listed(*(drop[c].to_numpy() for c in ("id", "high", "low"))))
         return pa.table(part, names=named)
 
-    return dealt.groupBy(names[2]).cogroup(lose.groupBy("batch")).applyInArrow(finish, out)
+    return dealt.groupBy(names[2]).cogroup(lose.groupBy("batch")).applyInArrow(tidy(finish), out)
 
 
 class Common(NamedTuple):

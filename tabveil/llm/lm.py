@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabveil.llm.blobs import docs_of, pack_planes, unpack_planes
+from tabveil.llm.blobs import docs_of, pack_planes, tidy, unpack_planes
 from tabveil.llm.text import LOWER, U64, buffers, grams, mix, prefix, slabs, span_hash, words
 
 WORD = r"[^\x20\x09-\x0D]++"
@@ -139,5 +139,5 @@ def score(docs: DataFrame, order: int = 3, backoff: float = 0.4, least: int = 1,
 
     sent = "batch long, bucket int, n int, grams binary, counts binary"
     back = "batch long, bucket int, n int, totals binary"
-    answers = dealt.groupBy("batch").applyInArrow(send, sent).groupBy("bucket").applyInArrow(add, back)
-    return dealt.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(finish, "doc_id long, n_words long, log_score double, per_word double, rest_score double, rest_per_word double")
+    answers = dealt.groupBy("batch").applyInArrow(tidy(send), sent).groupBy("bucket").applyInArrow(tidy(add), back)
+    return dealt.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(tidy(finish), "doc_id long, n_words long, log_score double, per_word double, rest_score double, rest_per_word double")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabveil.llm.blobs import Steps, docs_of, pack, pack_planes, unpack, unpack_planes
+from tabveil.llm.blobs import Steps, docs_of, pack, pack_planes, tidy, unpack, unpack_planes
 from tabveil.llm.text import U64, buffers, mix, prefix, slabs, span_hash, window_hash
 
 PART = 16  # bytes of an anchor
@@ -361,7 +361,7 @@ class Index:
             return pa.table({"bucket": pa.array([bucket] * len(have), pa.int32()), "size": pa.array([s for s, _ in have], pa.int64()), "blob": pa.array([b for _, b in have], pa.binary())})
 
         out = self.steps.keep(out)
-        self.levels = self.steps.keep(sent.groupBy("bucket").cogroup(old.groupBy("bucket")).applyInArrow(merge, "bucket int, size long, blob binary"))
+        self.levels = self.steps.keep(sent.groupBy("bucket").cogroup(old.groupBy("bucket")).applyInArrow(tidy(merge), "bucket int, size long, blob binary"))
         return out
 
 
@@ -414,7 +414,7 @@ def _dedup(docs: DataFrame, length: int, batch_mb: float, buckets: int, index: I
             blobs = tell(table["blob"].to_pylist(), table["flags"].to_pylist())
             return pa.table({"batch": table["batch"], "bucket": table["bucket"], "blob": pa.array(blobs, pa.binary())})
 
-        told = dealt.groupBy("batch").applyInArrow(first, f"{BLOBS}, flags binary").groupBy("bucket").applyInArrow(second, BLOBS)
+        told = dealt.groupBy("batch").applyInArrow(tidy(first), f"{BLOBS}, flags binary").groupBy("bucket").applyInArrow(tidy(second), BLOBS)
 
     def blobs_of(table) -> dict[int, bytes]:
         return dict(zip(table["bucket"].to_pylist(), table["blob"].to_pylist(), strict=True))
@@ -459,10 +459,10 @@ def _dedup(docs: DataFrame, length: int, batch_mb: float, buckets: int, index: I
     by_batch = dealt.groupBy("batch")
     sent, old = None, None
     if fresh:
-        answers = by_batch.cogroup(told.groupBy("batch")).applyInArrow(send_some, BLOBS).groupBy("bucket").applyInArrow(seek, BLOBS)
+        answers = by_batch.cogroup(told.groupBy("batch")).applyInArrow(tidy(send_some), BLOBS).groupBy("bucket").applyInArrow(tidy(seek), BLOBS)
         answers = answers.withColumn("told", F.lit(False)).union(told.withColumn("told", F.lit(True)))
     else:
-        sent = index.steps.keep(by_batch.applyInArrow(send_all, BLOBS))
+        sent = index.steps.keep(by_batch.applyInArrow(tidy(send_all), BLOBS))
         old = index.levels if index.levels is not None else spark.createDataFrame([], "bucket int, size long, blob binary")
-        answers = sent.groupBy("bucket").cogroup(old.groupBy("bucket")).applyInArrow(seek_in, BLOBS).withColumn("told", F.lit(False))
-    return by_batch.cogroup(answers.groupBy("batch")).applyInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"), sent, old
+        answers = sent.groupBy("bucket").cogroup(old.groupBy("bucket")).applyInArrow(tidy(seek_in), BLOBS).withColumn("told", F.lit(False))
+    return by_batch.cogroup(answers.groupBy("batch")).applyInArrow(tidy(finish), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"), sent, old
