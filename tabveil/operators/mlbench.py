@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, OneVsRest, RandomForestClassifier
+from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import StandardScaler, StringIndexer, VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabveil.operators.perceptron import Perceptron
 from tabveil.operators.quota import ordered
 
 MODELS = ("dt", "lr", "rf", "gbt", "mlp")
@@ -28,7 +29,7 @@ def classifier(kind: str, features: int, classes: int, seed: int = 42, trees: in
     if kind == "gbt":  # boosting is binary here, hence one against the rest
         return OneVsRest(classifier=GBTClassifier(seed=seed, maxIter=rounds, maxDepth=3, **common), **common)
     if kind == "mlp":
-        return MultilayerPerceptronClassifier(seed=seed, layers=[features, units, classes], maxIter=iterations, **common)
+        return Perceptron(seed=seed, layers=[features, units, classes], maxIter=iterations, **common)
     raise ValueError(f"unknown model {kind}")
 
 
