@@ -64,6 +64,18 @@ def count_sets(df: DataFrame, sets: Iterable[Sequence[str]]) -> DataFrame:
     return reduce(DataFrame.unionByName, out)
 
 
+def count_cells(df: DataFrame, domain: Domain, sets: Iterable[Sequence[str]]) -> tuple[DataFrame, list[int]]:
+    """(key, count) of the cells that occur in many marginals, and the first key of each; a key is that plus the cell.
+
+    One scan, whose rows become one number for each set: grouping sets of many attributes make code too long to be compiled.
+    """
+    first, keys = [0], []
+    for s in sets:
+        keys.append(cell_of(domain, s) + F.lit(first[-1]))
+        first.append(first[-1] + domain.size(s))
+    return df.select(F.explode(F.array(*keys)).alias("key")).groupBy("key").agg(F.count("*").alias("count")), first[:-1]
+
+
 def normalize(marginal: DataFrame, value: str = "count") -> DataFrame:
     total = marginal.agg(F.sum(value).alias("__total"))
     return marginal.crossJoin(F.broadcast(total)).withColumn("share", F.col(value) / F.when(F.col("__total") != 0, F.col("__total"))).drop("__total")

@@ -96,56 +96,106 @@ def step(rows: DataFrame, target: DataFrame, domain: Domain, attrs: Sequence[str
 
 
 class Shard:
-    """Rounds over all marginals on one shard's records: the same step on arrays, a row of `x` for each attribute."""
+    """Rounds over all marginals on one shard's records: the same step on arrays, a row of `x` for each attribute.
+
+    Cells of all records (a row for each marginal) and counts of all cells are kept; a step brings only those of the
+    records that it moves up to date.
+    """
 
     def __init__(self, records: np.ndarray, weights: dict[tuple, np.ndarray], axes: dict[tuple, list[int]], shapes: dict[tuple, tuple[int, ...]], targets: dict[tuple, np.ndarray], seed: int) -> None:
-        self.x, self.weights, self.axes, self.shapes, self.targets = np.ascontiguousarray(records.T, np.int32), weights, axes, shapes, targets
+        self.x, self.axes, self.shapes, self.targets = np.ascontiguousarray(records.T, np.int64), axes, shapes, targets
         self.rng = np.random.default_rng(seed)
-
-    def cells(self, v: tuple) -> np.ndarray:
-        kind = np.uint16 if len(self.targets[v]) <= 1 << 16 else np.int64  # short numbers are sorted by radix
-        return sum(self.x[k] * np.int64(w) for k, w in zip(self.axes[v], self.weights[v], strict=True)).astype(kind)
+        self.n = self.x.shape[1]
+        self.at = {v: k for k, v in enumerate(targets)}
+        weight = np.zeros((len(targets), len(self.x)))
+        for v, k in self.at.items():
+            weight[k, axes[v]] = weights[v]
+        self.weight = weight  # cells are far below 2**53, so that products of doubles are exact
+        self.cell = (weight @ self.x).astype(np.int64)
+        self.ends = np.cumsum([0, *(len(a) for a in targets.values())])
+        self.count = np.bincount((self.cell + self.ends[:-1, None]).ravel(), minlength=self.ends[-1])
+        self.want = {v: a * self.n for v, a in targets.items()}
+
+    def counts(self, v: tuple) -> np.ndarray:
+        return self.count[self.ends[self.at[v]] : self.ends[self.at[v] + 1]]
 
     def l1(self, v: tuple) -> float:
-        return float(np.abs(np.bincount(self.cells(v), minlength=len(self.targets[v])) / self.x.shape[1] - self.targets[v]).sum())
+        return float(np.abs(self.counts(v) - self.want[v]).sum()) / max(self.n, 1)
+
+    def pick(self, cell: np.ndarray, wanted: np.ndarray, have: np.ndarray) -> np.ndarray:
+        """The first wanted[c] rows of each cell c in a random order, cell after cell.
+
+        Rows whose random number is so large that they are hardly ever among the first aren't sorted unless a cell falls short.
+        """
+        asked = np.flatnonzero(wanted)
+        row = np.flatnonzero((wanted > 0)[cell])
+        mine = cell[row]
+        low = len(row).bit_length()
+        high = min(31, 62 - len(wanted).bit_length() - low)
+        draw = self.rng.integers(0, 1 << 32, len(row), np.uint32)
+        enough = np.ones(len(wanted))
+        big = asked[have[asked] > 16]
+        enough[big] = np.minimum((wanted[big] + 4 * np.sqrt(wanted[big]) + 4) / have[big], 1)
+        for bound in ((enough * (2**32 - 1)).astype(np.uint32), None):
+            some = np.arange(len(row)) if bound is None else np.flatnonzero(draw <= bound[mine])
+            held = mine[some]
+            size = np.bincount(held, minlength=len(wanted))
+            if bound is None or (size[asked] >= wanted[asked]).all():
+                break
+        # cell, random number and place in one number each: values are sorted faster than places
+        keys = (held << (high + low)) | ((draw[some].astype(np.int64) << high >> 32) << low) | some
+        keys.sort()
+        times = wanted[asked]
+        first = np.cumsum(size)[asked] - size[asked] - (np.cumsum(times) - times)
+        return row[keys[np.repeat(first, times) + np.arange(times.sum())] & ((1 << low) - 1)]
 
     def one(self, v: tuple, alpha: float, complete: float) -> None:
-        n, a = self.x.shape[1], self.targets[v]
-        cell = self.cells(v)
-        s = np.bincount(cell, minlength=len(a)) / n
-        add = np.zeros(len(a))
-        zero, under, over = (s == 0) & (a > 0), (s < a) & (s > 0), s > a
-        add[zero] = np.rint(alpha * a[zero] * n)
-        add[under] = np.rint(np.minimum((a[under] - s[under]) / s[under], alpha) * s[under] * n)
+        cell, have, want = self.cell[self.at[v]], self.counts(v), self.want[v]
+        gap = want - have
+        add = np.rint(np.where(have > 0, np.minimum(gap, alpha * have), alpha * want))
+        add[gap <= 0] = 0
         need = add.sum()
-        if not need or not over.any():
+        over = np.flatnonzero(gap < 0)
+        if not need or not len(over):
             return
-        x = (s[over] - a[over]) / s[over]
-        by = np.argsort(x, kind="stable")
-        give, held = (s[over] - a[over])[by] * n, s[over][by] * n
-        b = (need - (np.cumsum(give) - give)) / (np.cumsum(held[::-1])[::-1])
-        fits = np.flatnonzero(b <= x[by])
-        limit = b[fits[0]] if len(fits) else x.max()
-        reduce = np.zeros(len(a), int)
-        reduce[over] = np.rint(np.minimum(x, limit) * s[over] * n)
-        # rows in random order, grouped by cell
-        order = self.rng.permutation(n)
-        order = order[np.argsort(cell[order], kind="stable")]
-        size = np.bincount(cell, minlength=len(a))
-        first = np.cumsum(size) - size
-        grouped = cell[order]
-        free = self.rng.permutation(order[np.arange(n) - first[grouped] < reduce[grouped]])
+        # cells below the limit give all of their excess; what is left to give falls on the others
+        give, held = -gap[over], have[over]
+        x, left, base, some = give / held, need, held.sum(), np.arange(len(over))
+        limit = x.max()
+        while len(some):
+            below = x[some] < left / base
+            if not below.any():
+                limit = left / base
+                break
+            done, some = some[below], some[~below]
+            left, base = left - give[done].sum(), base - held[done].sum()
+        add = add.astype(np.int64)
+        copies = np.where(have > 0, np.rint(complete * add), 0).astype(np.int64)
+        wanted = copies.copy()
+        wanted[over] = np.rint(np.minimum(give, limit * held))
+        rows = self.pick(cell, wanted, have)
+        free = self.rng.permutation(rows[np.repeat(gap < 0, wanted)])
         # zero cells take donors first, then those that are under; an under cell's first ones become copies of its rows
-        todo = np.concatenate([np.flatnonzero(zero), np.flatnonzero(under)])
-        times = add[todo].astype(int)
+        todo = np.flatnonzero(add)
+        empty = have[todo] == 0
+        todo = np.concatenate([todo[empty], todo[~empty]])
+        times = add[todo]
         to = np.repeat(todo, times)[: len(free)]
         turn = (np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times))[: len(free)]
         free = free[: len(to)]
-        copies = np.where(under, np.minimum(np.rint(complete * add), size), 0)
-        whole = turn < copies[to]
-        self.x[:, free[whole]] = self.x[:, order[first[to[whole]] + turn[whole]]]
-        for k, codes in zip(self.axes[v], np.unravel_index(to[~whole], self.shapes[v]), strict=True):
-            self.x[k, free[~whole]] = codes
+        if not len(free):
+            return
+        whole = np.flatnonzero(turn < copies[to])
+        source = rows[(np.cumsum(wanted) - wanted)[to[whole]] + turn[whole]]
+        new = np.take(self.x, free, 1)
+        new[:, whole] = np.take(self.x, source, 1)
+        for k, codes in zip(self.axes[v], np.unravel_index(to, self.shapes[v]), strict=True):
+            new[k] = codes
+        was, now = np.take(self.cell, free, 1), (self.weight @ new).astype(np.int64)
+        self.x[:, free] = new
+        self.cell[:, free] = now
+        np.subtract.at(self.count, (was + self.ends[:-1, None]).ravel(), 1)
+        np.add.at(self.count, (now + self.ends[:-1, None]).ravel(), 1)
 
     def run(self, rounds: int, method: str, first: float, policy: str) -> None:
         for i in range(rounds):
@@ -172,6 +222,7 @@ def run_shards(rows: DataFrame, domain: Domain, targets: dict[tuple, np.ndarray]
         return pdf[["row_id", *attrs]]
 
     dealt = rows.select("row_id", *attrs, F.pmod(F.xxhash64("row_id"), F.lit(shards)).cast("int").alias("shard"))
+    dealt = dealt.repartition(3 * shards, "shard")  # few tasks get two shards, and none waits for one with many
     return dealt.groupBy("shard").applyInPandas(update, "row_id long, " + ", ".join(f"`{a}` int" for a in attrs))
 
 

@@ -15,7 +15,7 @@ from tabveil.domain import Domain
 from tabveil.functions import codec as codecs
 from tabveil.functions import privacy
 from tabveil.operators import consistency, dependence, quota, recode, update
-from tabveil.operators.marginals import DENSE_CELLS, cell_of, cells, count_sets, dense, local, observed
+from tabveil.operators.marginals import DENSE_CELLS, cells, count_cells, count_sets, dense, local, observed
 from tabveil.plans import selection
 from tabveil.sources.store import RunStore
 
@@ -102,21 +102,16 @@ class Pipeline:
                 raise ValueError(f"{v} has too many cells")
         spark = df.sparkSession
         kind = kind or ("laplace" if c.noise_add_method == "A1" else "gauss")
-        cell = F.coalesce(*(F.when(F.col("view") == ",".join(v), cell_of(domain, v)) for v in views))
-        counts = count_sets(df, views).select("view", cell.alias("cell"), "count")
-        sizes = spark.createDataFrame([(",".join(v), domain.size(v), float(scales[v]["scale"])) for v in views], "view string, size long, scale double")
-        blocks = sizes.select("view", "scale", "size", F.explode(F.expr("sequence(0L, (size - 1) div 10000)")).alias("block"))
-        full = blocks.select("view", "scale", F.explode(F.expr("sequence(block * 10000, least(size, block * 10000 + 10000) - 1)")).alias("cell"))
-        full = full.join(counts, ["view", "cell"], "left")
+        counts, first = count_cells(df, domain, views)
+        sizes = spark.createDataFrame([(",".join(v), domain.size(v), float(scales[v]["scale"]), at) for v, at in zip(views, first, strict=True)], "view string, size long, scale double, first long")
+        blocks = sizes.select("view", "scale", "size", "first", F.explode(F.expr("sequence(0L, (size - 1) div 10000)")).alias("block"))
+        full = blocks.select("view", "scale", "first", F.explode(F.expr("sequence(block * 10000, least(size, block * 10000 + 10000) - 1)")).alias("cell"))
+        full = full.withColumn("key", F.col("first") + F.col("cell")).join(counts, "key", "left")
         unit = self.noise(1.0, kind, None, prefix)
-        rows = full.select("view", "cell", (F.coalesce("count", F.lit(0)).cast("double") + F.col("scale") * unit).alias("count")).toArrow()
-        name, place, value = (rows[x].to_numpy() for x in ("view", "cell", "count"))
-        out = {}
-        for v in views:
-            mine = name == ",".join(v)
-            out[v] = np.zeros(domain.size(v))
-            out[v][place[mine]] = value[mine]
-        return out
+        rows = full.select("key", (F.coalesce("count", F.lit(0)).cast("double") + F.col("scale") * unit).alias("count")).toArrow()
+        every = np.zeros(rows.num_rows)
+        every[rows["key"].to_numpy()] = rows["count"].to_numpy()
+        return {v: every[at : at + domain.size(v)] for v, at in zip(views, first, strict=True)}
 
     def initialise(self, spark, domain: Domain, targets: dict[View, np.ndarray], attrs: list[str], n: int, marginals: list[View]) -> DataFrame:
         """n rows: random codes, each attribute by its own marginal, or by marginals with the target attribute."""
