@@ -151,6 +151,12 @@ class Shard:
 
     def one(self, v: tuple, alpha: float, complete: float) -> None:
         cell, have, want = self.cell[self.at[v]], self.counts(v), self.want[v]
+        live = None
+        if len(have) > self.n // 4:  # cells that neither have records nor would get one change nothing
+            live = np.flatnonzero((have > 0) | (alpha * want > 0.5))
+            place = np.zeros(len(have), np.int64)
+            place[live] = np.arange(len(live))
+            cell, have, want = place[cell], have[live], want[live]
         gap = want - have
         add = np.rint(np.where(have > 0, np.minimum(gap, alpha * have), alpha * want))
         add[gap <= 0] = 0
@@ -189,7 +195,7 @@ class Shard:
         source = rows[(np.cumsum(wanted) - wanted)[to[whole]] + turn[whole]]
         new = np.take(self.x, free, 1)
         new[:, whole] = np.take(self.x, source, 1)
-        for k, codes in zip(self.axes[v], np.unravel_index(to, self.shapes[v]), strict=True):
+        for k, codes in zip(self.axes[v], np.unravel_index(to if live is None else live[to], self.shapes[v]), strict=True):
             new[k] = codes
         was, now = np.take(self.cell, free, 1), (self.weight @ new).astype(np.int64)
         self.x[:, free] = new

@@ -42,6 +42,16 @@ def test_shard_keeps_its_counts():
     assert sum(s.l1(v) for v in s.targets) < before / 8
 
 
+def test_sparse_cells_are_left_out_without_a_change():
+    s = shard(300)  # 240 cells, of which a quarter of the records' number is less: the short way
+    before = sum(s.l1(v) for v in s.targets)
+    s.run(10, "U4", 1.0, "S5")
+    for v, k in s.at.items():
+        assert (s.cell[k] == np.ravel_multi_index([s.x[a] for a in s.axes[v]], s.shapes[v])).all()
+        assert (s.counts(v) == np.bincount(s.cell[k], minlength=len(s.targets[v]))).all()
+    assert sum(s.l1(v) for v in s.targets) < before / 2
+
+
 def test_picks_are_exact_and_even():
     s = shard()
     rng = np.random.default_rng(5)
