@@ -97,9 +97,10 @@ def consist(views: Mapping[View, np.ndarray], domain: Domain, rho: Mapping[View,
                 spread = delta.transpose([x for x in axes if x is not None]) if names else delta
                 now[v] += spread.reshape([n if a in names else 1 for a, n in zip(v, shape[v], strict=True)])
         negative = any((x < 0).any() for x in now.values())
-        gap = agree()
-        if not negative and (faithful or gap <= tolerance * max(1.0, max(float(x.sum()) for x in now.values()))):
-            break
+        if not negative:
+            gap = agree()
+            if faithful or gap <= tolerance * max(1.0, max(float(x.sum()) for x in now.values())):
+                break
         now = {v: apply_array(x.ravel(), method, it).reshape(shape[v]) for v, x in now.items()}
         gap = agree()
         if gap <= tolerance:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +14,7 @@ from tabveil.domain import Domain
 
 DENSE_CELLS = 10_000_000
 SETS_AT_ONCE = 30
+COUNTED_CELLS = 20_000_000  # 8 bytes each in a task
 
 
 def cell_of(domain: Domain, attrs: Sequence[str]) -> Column:
@@ -64,16 +67,54 @@ def count_sets(df: DataFrame, sets: Iterable[Sequence[str]]) -> DataFrame:
     return reduce(DataFrame.unionByName, out)
 
 
-def count_cells(df: DataFrame, domain: Domain, sets: Iterable[Sequence[str]]) -> tuple[DataFrame, list[int]]:
-    """(key, count) of the cells that occur in many marginals, and the first key of each; a key is that plus the cell.
+def count_views(df: DataFrame, domain: Domain, sets: Iterable[Sequence[str]]) -> DataFrame:
+    """(view, cell, count) of the cells that occur in many marginals; a view is a set's place. Nulls belong to no cell.
 
-    One scan, whose rows become one number for each set: grouping sets of many attributes make code too long to be compiled.
+    One scan. Each task adds to an array of all cells, unless there are more than COUNTED_CELLS: then a row becomes one for each set.
     """
-    first, keys = [0], []
+    sets = [tuple(s) for s in sets]
+    weights = [np.array(domain.weights(s), np.int64) for s in sets]
+    ends = np.cumsum([0, *(domain.size(s) for s in sets)], dtype=object)
+    if ends[-1] > COUNTED_CELLS:
+        keys = F.array(*(F.struct(F.lit(k).alias("view"), cell_of(domain, s).alias("cell")) for k, s in enumerate(sets)))
+        return df.select(F.explode(keys).alias("k")).select("k.*").where("cell is not null").groupBy("view", "cell").agg(F.count("*").alias("count"))
+    attrs = list(dict.fromkeys(a for s in sets for a in s))
+    sizes, ends = domain.sizes, ends.astype(np.int64)
+
+    def count(batches):
+        total = np.zeros(ends[-1], np.int64)
+        for batch in batches:
+            held, known = {}, {}
+            for a in attrs:
+                column = batch.column(a)
+                known[a] = None if not column.null_count else column.is_valid().to_numpy(zero_copy_only=False)
+                held[a] = (column.fill_null(0) if column.null_count else column).to_numpy(zero_copy_only=False).astype(np.int64)
+                if len(held[a]) and (held[a].min() < 0 or held[a].max() >= sizes[a]):
+                    raise ValueError(f"a code lies outside the domain of {a}")
+            for s, w, at, end in zip(sets, weights, ends, ends[1:], strict=False):
+                cell = sum((held[a] * k for a, k in zip(s, w, strict=True)), np.zeros(batch.num_rows, np.int64))
+                some = [known[a] for a in s if known[a] is not None]
+                cell = cell[np.logical_and.reduce(some)] if some else cell
+                if end - at <= batch.num_rows:
+                    total[at:end] += np.bincount(cell, minlength=end - at)
+                else:
+                    np.add.at(total, cell + at, 1)
+        found = np.flatnonzero(total)
+        view = np.searchsorted(ends, found, "right") - 1
+        yield pa.RecordBatch.from_arrays([pa.array(view.astype(np.int32)), pa.array(found - ends[view]), pa.array(total[found])], ["view", "cell", "count"])
+
+    columns = df.select(*(F.col(a).cast("int").alias(a) for a in attrs)) if attrs else df.select(F.lit(0).alias("none"))
+    return columns.mapInArrow(count, "view int, cell long, count long").groupBy("view", "cell").agg(F.sum("count").alias("count"))
+
+
+def count_cells(df: DataFrame, domain: Domain, sets: Iterable[Sequence[str]]) -> tuple[DataFrame, list[int]]:
+    """(key, count) of the cells that occur in many marginals, and the first key of each; a key is that plus the cell."""
+    sets = [tuple(s) for s in sets]
+    first = [0]
     for s in sets:
-        keys.append(cell_of(domain, s) + F.lit(first[-1]))
         first.append(first[-1] + domain.size(s))
-    return df.select(F.explode(F.array(*keys)).alias("key")).groupBy("key").agg(F.count("*").alias("count")), first[:-1]
+    start = F.element_at(F.array(*(F.lit(k).cast("long") for k in first)), F.col("view") + 1)
+    return count_views(df, domain, sets).select((start + F.col("cell")).alias("key"), "count"), first[:-1]
 
 
 def normalize(marginal: DataFrame, value: str = "count") -> DataFrame:

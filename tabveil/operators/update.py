@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Sequence
 from math import exp, sqrt
 
@@ -10,12 +11,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabveil.domain import Domain
+from tabveil.operators import rounds as jvm_rounds
 from tabveil.operators.marginals import dense, local
 from tabveil.operators.quota import fill, ordered
 
 FIXED = {"U8": 1.0, "U9": 0.2, "U10": 0.3, "U11": 0.5, "U12": 0.1}
 #: Share of complete copies in even and odd rounds.
 POLICIES = {"S1": (0.0, 0.0), "S2": (1.0, 1.0), "S3": (0.5, 0.5), "S4": (0.0, 1.0), "S5": (0.5, 1.0), "S6": (0.5, 0.0)}
+SPARSE_CELLS = 25_000  # about half of the records that a shard has by default
 
 
 def rate(method: str, i: int, first: float = 1.0) -> float:
@@ -210,26 +213,53 @@ class Shard:
                 self.one(v, alpha, complete)
 
 
+def deal(domain: Domain, targets: dict[tuple, np.ndarray], shards: int) -> tuple[str | None, np.ndarray]:
+    """The attribute whose codes are dealt to shards, and the shard of each code; None if every shard can have all codes.
+
+    A shard with some records of every code has less than one for most cells of a large marginal, and rounding then keeps it
+    from its targets. Shards get whole codes of the largest attribute instead, at random and about the same share of records.
+    """
+    alike = None, np.zeros(0, np.int64)
+    if shards == 1 or max(len(x) for x in targets.values()) <= SPARSE_CELLS:
+        return alike
+    by = max((a for v in targets for a in v), key=lambda a: domain[a])
+    view = next(v for v in targets if by in v)
+    share = targets[view].reshape(domain.project(view).shape).sum(tuple(k for k, a in enumerate(view) if a != by))
+    if domain[by] < 4 * shards or share.max() * shards > 1:
+        return alike
+    home, rng = np.zeros(domain[by], np.int64), np.random.default_rng(0)
+    codes = rng.permutation(domain[by])
+    codes = codes[np.argsort(-share[codes], kind="stable")]
+    loads = [(0.0, k) for k in range(shards)]
+    for c in codes:
+        load, k = heapq.heappop(loads)
+        home[c] = k
+        heapq.heappush(loads, (load + share[c], k))
+    return by, home
+
+
 def run_shards(rows: DataFrame, domain: Domain, targets: dict[tuple, np.ndarray], shards: int, rounds: int, method: str = "U4", first: float = 1.0, policy: str = "S5", seed: int = 0) -> DataFrame:
     """All rounds on each shard by itself: one shuffle, no job for each round.
 
-    Targets are shares, so shards are exchangeable. They and their marginals (capped in cells) go out with the task.
+    Targets are shares, so shards are exchangeable, or their targets are those of their codes (see `deal`). Marginals (capped
+    in cells) go out with the task. The steps are those of Shard, in the JVM (Rounds.java).
     """
-    attrs = list(domain.attrs)
-    weights = {v: np.array(domain.weights(v), np.int64) for v in targets}
-    axes = {v: list(domain.axes(v)) for v in targets}
-    shapes = {v: domain.project(v).shape for v in targets}
-
-    def update(pdf):
-        pdf = pdf.sort_values("row_id", kind="stable")
-        shard = Shard(pdf[attrs].to_numpy(np.int64), weights, axes, shapes, targets, seed + int(pdf["shard"].iloc[0]))
-        shard.run(rounds, method, first, policy)
-        pdf[attrs] = shard.x.T
-        return pdf[["row_id", *attrs]]
-
-    dealt = rows.select("row_id", *attrs, F.pmod(F.xxhash64("row_id"), F.lit(shards)).cast("int").alias("shard"))
+    attrs, spark = list(domain.attrs), rows.sparkSession
+    ordered_targets = {domain.canonical(v): x.reshape(domain.project(v).shape).transpose([v.index(a) for a in domain.canonical(v)]).ravel() for v, x in targets.items()}
+    weight = np.zeros((len(targets), len(attrs)), np.int64)
+    for k, v in enumerate(ordered_targets):
+        weight[k, list(domain.axes(v))] = domain.weights(v)
+    ends = np.cumsum([0, *(len(x) for x in ordered_targets.values())])
+    by, home = deal(domain, ordered_targets, shards)
+    if by is None:
+        dealt = rows.withColumn("shard", F.pmod(F.xxhash64("row_id"), F.lit(shards)).cast("int"))
+    else:
+        homes = spark.createDataFrame(list(enumerate(home.tolist())), f"`{by}` int, shard int")
+        dealt = rows.join(F.broadcast(homes), by)
+    dealt = dealt.select("shard", "row_id", *(F.col(a).cast("int").alias(a) for a in attrs))
     dealt = dealt.repartition(3 * shards, "shard")  # few tasks get two shards, and none waits for one with many
-    return dealt.groupBy("shard").applyInPandas(update, "row_id long, " + ", ".join(f"`{a}` int" for a in attrs))
+    alpha, complete = [rate(method, i, first) for i in range(rounds)], [POLICIES[policy][i % 2] for i in range(rounds)]
+    return jvm_rounds.run(dealt, domain.shape, -1 if by is None else attrs.index(by), home, weight, ends, np.concatenate(list(ordered_targets.values())), alpha, complete, seed)
 
 
 def errors(rows: DataFrame, targets: dict[tuple, np.ndarray], domain: Domain) -> dict[tuple, float]:

@@ -248,7 +248,8 @@ class Pipeline:
         for a in domain:
             if a in grouped:
                 out = recode.decode(out, a, maps[a], F.xxhash64("row_id", F.lit(f"recode {a}")), held.where(F.col("view") == a).select(a, "count"))
-        out = self.kept(out.select("row_id", *domain.attrs))
+        out = out.select("row_id", *domain.attrs)
+        out = self.kept(out) if self.store is not None else out  # dumped and saved
         self.dump("postprocessing", out)
         table = model.decode(out.drop("row_id"), c.seed, use_diff=not c.faithful)
         codes.unpersist()

@@ -74,3 +74,27 @@ def test_shards_are_dealt_to_tasks_of_their_own(spark):
     rows = spark.range(900).select(F.col("id").alias("row_id"), (F.col("id") % 3).cast("int").alias("a"), (F.col("id") % 2).cast("int").alias("b"))
     out = update.run_shards(rows, domain, {("a", "b"): np.array([0.3, 0.1, 0.1, 0.2, 0.1, 0.2])}, 9, 5)
     assert out.rdd.getNumPartitions() > 9 and out.select("row_id").distinct().count() == 900
+
+
+def test_shards_of_some_codes_agree_with_all_targets(spark):
+    rng = np.random.default_rng(4)
+    domain = Domain.from_dict({"a": 4, "s": 3000, "b": 9})
+    full = rng.dirichlet(np.ones(4 * 9) * 0.5).reshape(4, 1, 9) * rng.gamma(2, size=(4, 3000, 1)) * rng.gamma(8, size=(1, 3000, 9))
+    full /= full.sum()
+    targets = {("a", "s"): full.sum(2).ravel(), ("s", "b"): full.sum(0).ravel(), ("a", "b"): full.sum(1).ravel()}
+    by, home = update.deal(domain, targets, 8)
+    assert by == "s" and set(home) == set(range(8))
+    share = np.bincount(home, full.sum((0, 2)))
+    assert abs(share - 1 / 8).max() < 0.01
+    n = 240_000
+    codes = {a: rng.permutation(np.repeat(np.arange(domain[a]), np.diff(np.rint(np.cumsum([0, *full.sum(tuple(k for k in range(3) if k != i))]) * n).astype(int)))) for i, a in enumerate(domain.attrs)}
+    import pandas as pd
+
+    rows = spark.createDataFrame(pd.DataFrame({"row_id": np.arange(n), **{a: x.astype(np.int32) for a, x in codes.items()}}))
+    out = update.run_shards(rows, domain, targets, 8, 60, seed=2).persist()
+    after = update.errors(out, targets, domain)
+    assert after["a", "b"] < 0.02 and after["a", "s"] < 0.06 and after["s", "b"] < 0.15
+    assert out.select("row_id").distinct().count() == n and out.columns == ["row_id", "a", "s", "b"]
+    again = update.run_shards(rows.repartition(7), domain, targets, 8, 60, seed=2)
+    assert out.exceptAll(again).count() == 0
+    out.unpersist()
